@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm.licences import op2_licence_scan
 from gleaner.llm.mixing import op10_mixing
+from gleaner.llm.quality_pu import op3_quality_classifier
+from gleaner.llm.quality_rules import op4_quality_rules
 from gleaner.llm.sharding import op5_sharding
 from gleaner.llm.warc import FIXITY_SQL, op9_warc_fixity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_licence_scan": op2_licence_scan,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_mixing": op10_mixing,
