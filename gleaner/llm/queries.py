@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm.bpe import op6_bpe
 from gleaner.llm.licences import op2_licence_scan
 from gleaner.llm.mixing import op10_mixing
 from gleaner.llm.quality_pu import op3_quality_classifier
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
+    "op6_bpe": op6_bpe,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_mixing": op10_mixing,
 }
