@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.bpe import op6_bpe
+from gleaner.llm.embeddings import op1_embedding_near_dedup
 from gleaner.llm.licences import op2_licence_scan
 from gleaner.llm.mixing import op10_mixing
 from gleaner.llm.quality_pu import op3_quality_classifier
@@ -15,6 +16,7 @@ from gleaner.llm.sharding import op5_sharding
 from gleaner.llm.warc import FIXITY_SQL, op9_warc_fixity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_licence_scan": op2_licence_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
