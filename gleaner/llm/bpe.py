@@ -22,6 +22,7 @@ import re
 import tempfile
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -30,8 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.textkit import string_rows
+from gleaner.llm.workspace import Workspace
 
-LEXICON_WORDS, MEMO_WORDS, COUNTED_WORDS = 1 << 16, 200_000, 200_000
+LEXICON_WORDS, MEMO_WORDS, COUNTED_WORDS = 1 << 18, 400_000, 400_000
 END = "</w>"
 _NO = 1 << 60
 
@@ -183,7 +185,7 @@ class Lexicon:
         file = tempfile.TemporaryFile()
         file.write(block)
         file.flush()
-        raw = np.memmap(file, np.uint8, "r")
+        raw = np.memmap(file, np.uint8, "r").view(np.ndarray)
         self.root, *sizes = (int(x) for x in raw[:40].view(np.int64))
         at = 40
 
@@ -234,33 +236,37 @@ class Encoder:
         self.tokens: dict[str, str] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.ids) > MEMO_WORDS:
+        new = list(words.difference(self.ids))
+        if len(self.ids) + len(new) > MEMO_WORDS:
             self.ids.clear()
             self.tokens.clear()
-        new = [w for w in words if w not in self.ids]
+            new = list(words)
         for w, ids in zip(new, self.lexicon.find(new), strict=True):
             ids = self.tok.merge(w) if ids is None else ids
             self.ids[w] = " ".join([self.text_of[i] for i in ids])
             self.tokens[w] = " ".join([self.tok.token[i] for i in ids])
 
-    def encode(self, text: str) -> tuple[str, str]:
-        """Decimal ids joined by blanks, and the decoded text."""
-        parts = self.tok.between.split(text) if "<|" in text else [text]
-        ids, tokens = [], []
-        for k, part in enumerate(parts):
-            if k % 2:
-                ids.append(str(self.tok.special[part]))
-                tokens.append(part)
-                continue
-            words = self.tok.words(part)
-            try:
-                own = list(map(self.ids.__getitem__, words))
-            except KeyError:
-                self.learn(set(words))
-                own = [self.ids[w] for w in words]
-            ids += own
-            tokens += map(self.tokens.__getitem__, words)
-        return " ".join(ids), " ".join(tokens)
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """Decimal ids joined by blanks, and the decoded text, of each text; new words are learnt together."""
+        split = []
+        new: set[str] = set()
+        for text in texts:
+            parts = self.tok.between.split(text) if "<|" in text else [text]
+            words = [part if k % 2 else self.tok.words(part) for k, part in enumerate(parts)]
+            for w in words[::2]:
+                new.update(w)
+            split.append(words)
+        self.learn(new)
+        for words in split:
+            ids, tokens = [], []
+            for k, part in enumerate(words):
+                if k % 2:
+                    ids.append(str(self.tok.special[part]))
+                    tokens.append(part)
+                else:
+                    ids += map(self.ids.__getitem__, part)
+                    tokens += map(self.tokens.__getitem__, part)
+            yield " ".join(ids), " ".join(tokens)
 
 
 def read_spec(path: str) -> str:
@@ -291,8 +297,18 @@ def count_words(docs: DataFrame, spec) -> DataFrame:
 
 def build_lexicon(docs: DataFrame, spec, size: int = LEXICON_WORDS) -> bytes:
     """The ``size`` most frequent words of the corpus, compiled; a bounded table however large the corpus is."""
+    ws = Workspace(docs.sparkSession, "lexicon")
+    words = ws.save(count_words(docs, spec))
+    # how many words have each count, in eighths of powers of two: a table of bounded size
+    level = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted((r["level"], r["n"]) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect())
+    low, room = 1 << 30, size
+    while sizes and sizes[-1][1] <= room:
+        low, n = sizes.pop()
+        room -= n
+    top = words.where(level >= low).select("word").collect()  # never more than ``size``
+    ws.drop(words)
     tok = Tokenizer(spec.value)
-    top = count_words(docs, spec).orderBy(F.desc("n"), "word").limit(size).collect()
     return compile_lexicon({r["word"]: tok.merge(r["word"]) for r in top})
 
 
@@ -312,8 +328,7 @@ def encode_documents(docs: DataFrame, spec: str, lexicon_words: int = LEXICON_WO
             ids_of = batch.column(batch.schema.get_field_index("doc_id"))
             for first, texts in string_rows(batch, rows=256):
                 rows = []
-                for t in texts:
-                    ids, decoded = encoder.encode(t or "")
+                for ids, decoded in encoder.encode([t or "" for t in texts]):
                     row = (ids.count(" ") + 1 if ids else 0, sha(ids), sha(decoded))
                     rows.append((*row, np.array(ids.split(), np.int32), decoded) if full else row)
                 columns = [pa.array(x) for x in zip(*rows, strict=True)]
