@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gleaner.llm.bpe import op6_bpe
 from gleaner.llm.embeddings import op1_embedding_near_dedup
 from gleaner.llm.licences import op2_licence_scan
+from gleaner.llm.line_dedup import op7_line_dedup
 from gleaner.llm.mixing import op10_mixing
 from gleaner.llm.near_dedup import op8_minhash_near_dedup
 from gleaner.llm.quality_pu import op3_quality_classifier
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_bpe": op6_bpe,
+    "op7_line_dedup": op7_line_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_mixing": op10_mixing,
