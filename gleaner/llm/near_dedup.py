@@ -9,10 +9,11 @@ agree with their probability Jaccard.  ``BANDS`` bands of ``ROWS`` registers mak
 buckets; pairs are then verified on the whole texts by the Jaccard similarity of
 their shingle sets, 0.8 or more, and linked documents are one class.
 
-Cases: equal texts are one class whatever their length, but documents without
-words are alone; texts of one to four words are one shingle; null text is empty;
-repeated rows are of one class; texts are told apart by 64-bit hashes; an empty
-table gives an empty result; other columns pass through where rows are kept.
+Cases: equal texts are one class whatever their length, texts without words too,
+which link with no other text; texts of one to four words are one shingle; null
+text is empty; repeated rows are of one class; texts are told apart by 64-bit
+hashes; an empty table gives an empty result; other columns pass through where
+rows are kept.
 """
 
 from __future__ import annotations
@@ -112,32 +113,25 @@ def label_documents(docs: DataFrame) -> DataFrame:
     """
     ws = Workspace(docs.sparkSession, "near-dedup")
     found = near_classes(docs, ws)
-    has_word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-    slim = docs.select("doc_id", text_id().alias("id"), has_word.alias("_words"))
-    copies = slim.where("_words").groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    slim = docs.select("doc_id", text_id().alias("id"))
+    copies = slim.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     labelled = copies.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = ws.save(labelled)
     group = ws.save(labelled.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")))
     ids = ws.save(labelled.join(group, "component").select("id", "class_id", "class_size"))
-    rows = slim.where("_words").join(ids, "id").select("doc_id", "id", "class_id", "class_size")
-    alone = slim.where("not _words").select("doc_id", "id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
+    rows = slim.join(ids, "id").select("doc_id", "id", "class_id", "class_size")
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each class, the one of least doc_id (and least text hash).
-
-    Documents without words are classes of their own and all stay.
-    """
+    """The rows of ``docs`` that stay: one of each class, the one of least doc_id (and least text hash)."""
     ws = Workspace(docs.sparkSession, "deduplicated")
     rows = ws.save(docs.withColumn("_row", F.monotonically_increasing_id()))
-    has_word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
     found = near_classes(rows, ws)
-    slim = rows.select("_row", "doc_id", text_id().alias("id"), has_word.alias("_words"))
-    first = slim.where("_words").groupBy("id").agg(F.min(F.struct("doc_id", "id", "_row")).alias("first"))
+    slim = rows.select("_row", "doc_id", text_id().alias("id"))
+    first = slim.groupBy("id").agg(F.min(F.struct("doc_id", "id", "_row")).alias("first"))
     best = first.join(found, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first"))
-    stay = best.select("first._row").unionByName(slim.where("not _words").select("_row"))
-    return rows.join(ws.save(stay), "_row", "left_semi").drop("_row")
+    return rows.join(ws.save(best.select("first._row")), "_row", "left_semi").drop("_row")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
