@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from gleaner.plans import MODULES  # noqa: F401  registers every query
+from gleaner.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return SQL

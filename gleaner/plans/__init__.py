@@ -1 +1,5 @@
+"""Queries over the test tables, one module per family of operators."""
 
+from gleaner.plans import functions
+
+MODULES = (functions,)
