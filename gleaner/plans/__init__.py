@@ -1,5 +1,5 @@
 """Queries over the test tables, one module per family of operators."""
 
-from gleaner.plans import functions
+from gleaner.plans import functions, pools, retrieval
 
-MODULES = (functions,)
+MODULES = (functions, retrieval, pools)

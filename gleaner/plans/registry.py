@@ -53,8 +53,12 @@ qtok AS (
   SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*')) AS term FROM benchmark
 ), qf AS (SELECT query_id, term, count(*) AS qf FROM qtok GROUP BY ALL)"""
 
-#: BM25 scores of every (query, document); ``w`` is the query term's weight.
-BM25 = TOKENS + """, bm25 AS (
+_BM25 = TOKENS + """, bm25 AS (
   SELECT query_id, doc_id, round(sum({w} * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
   FROM qf JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), stats GROUP BY ALL
 )"""
+
+
+def bm25_sql(weight: str) -> str:
+    """BM25 scores of every (query, document); ``weight`` is the query term's."""
+    return _BM25.replace("{w}", weight)
