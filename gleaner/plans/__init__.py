@@ -1,5 +1,5 @@
 """Queries over the test tables, one module per family of operators."""
 
-from gleaner.plans import functions, pools, retrieval
+from gleaner.plans import functions, pools, retrieval, statistics
 
-MODULES = (functions, retrieval, pools)
+MODULES = (functions, retrieval, pools, statistics)
