@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,3 +22,12 @@ def local_session(cpus: int = 8, name: str = "gleaner", memory: str = "8g") -> S
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared ``spark.checkpoint.dir``; a local temporary one only where that is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="gleaner-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
