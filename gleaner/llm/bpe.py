@@ -23,17 +23,17 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.textkit import string_rows
+from gleaner.llm.textkit import lean, small_batches, string_rows
 from gleaner.llm.workspace import Workspace
 
-LEXICON_WORDS, MEMO_WORDS, COUNTED_WORDS = 1 << 18, 400_000, 400_000
+LEXICON_WORDS, MEMO_WORDS, COUNTED_WORDS = 1 << 18, 300_000, 250_000
 END = "</w>"
 _NO = 1 << 60
 
@@ -231,23 +231,21 @@ class Encoder:
 
     def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon):
         self.tok, self.lexicon = tokenizer, lexicon
-        self.text_of = [str(i) for i in range(len(tokenizer.token))]
-        self.ids: dict[str, str] = {}
-        self.tokens: dict[str, str] = {}
+        self.numbers = list(range(len(tokenizer.token)))  # one object for each id, however many words have it
+        self.text_of = list(map(str, self.numbers))
+        self.ids: dict[str, tuple[int, ...]] = {}
 
     def learn(self, words: set[str]) -> None:
         new = list(words.difference(self.ids))
         if len(self.ids) + len(new) > MEMO_WORDS:
             self.ids.clear()
-            self.tokens.clear()
             new = list(words)
         for w, ids in zip(new, self.lexicon.find(new), strict=True):
             ids = self.tok.merge(w) if ids is None else ids
-            self.ids[w] = " ".join([self.text_of[i] for i in ids])
-            self.tokens[w] = " ".join([self.tok.token[i] for i in ids])
+            self.ids[w] = tuple([self.numbers[i] for i in ids])
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """Decimal ids joined by blanks, and the decoded text, of each text; new words are learnt together."""
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text; new words of all texts are learnt together."""
         split = []
         new: set[str] = set()
         for text in texts:
@@ -258,15 +256,19 @@ class Encoder:
             split.append(words)
         self.learn(new)
         for words in split:
-            ids, tokens = [], []
+            ids: list[int] = []
             for k, part in enumerate(words):
                 if k % 2:
-                    ids.append(str(self.tok.special[part]))
-                    tokens.append(part)
+                    ids.append(self.tok.special[part])
                 else:
-                    ids += map(self.ids.__getitem__, part)
-                    tokens += map(self.tokens.__getitem__, part)
-            yield " ".join(ids), " ".join(tokens)
+                    ids.extend(chain.from_iterable(map(self.ids.__getitem__, part)))
+            yield ids
+
+    def decimal(self, ids: list[int]) -> str:
+        return " ".join(map(self.text_of.__getitem__, ids))
+
+    def decode(self, ids: list[int]) -> str:
+        return " ".join(map(self.tok.token.__getitem__, ids))
 
 
 def read_spec(path: str) -> str:
@@ -277,6 +279,7 @@ def read_spec(path: str) -> str:
 def count_words(docs: DataFrame, spec) -> DataFrame:
     """(word, n) over all documents; counts are summed in each task before they are shuffled."""
 
+    @lean
     def count(batches):
         tok, seen = Tokenizer(spec.value), Counter()
         flush = lambda: pa.RecordBatch.from_arrays(
@@ -317,10 +320,12 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def encode_documents(docs: DataFrame, spec: str, lexicon_words: int = LEXICON_WORDS, full: bool = False) -> DataFrame:
     """One row per document; with ``full`` also the ids themselves and the decoded text."""
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(spec)
     block = context.broadcast(build_lexicon(docs, shared, lexicon_words))
 
+    @lean
     def encode(batches):
         encoder = Encoder(Tokenizer(shared.value), Lexicon(block.value))
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
@@ -328,9 +333,10 @@ def encode_documents(docs: DataFrame, spec: str, lexicon_words: int = LEXICON_WO
             ids_of = batch.column(batch.schema.get_field_index("doc_id"))
             for first, texts in string_rows(batch, rows=256):
                 rows = []
-                for ids, decoded in encoder.encode([t or "" for t in texts]):
-                    row = (ids.count(" ") + 1 if ids else 0, sha(ids), sha(decoded))
-                    rows.append((*row, np.array(ids.split(), np.int32), decoded) if full else row)
+                for ids in encoder.encode([t or "" for t in texts]):
+                    decoded = encoder.decode(ids)
+                    row = (len(ids), sha(encoder.decimal(ids)), sha(decoded))
+                    rows.append((*row, np.array(ids, np.int32), decoded) if full else row)
                 columns = [pa.array(x) for x in zip(*rows, strict=True)]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)]
                 yield pa.RecordBatch.from_arrays([ids_of.slice(first, len(texts)), *columns], names=["doc_id", *names])

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm.textkit import Chunk, chunks, string_rows
+from gleaner.llm.textkit import Chunk, chunks, lean, small_batches, string_rows
 
 # Phrases and labels that every scan reports.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -172,6 +172,9 @@ _ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string
 def scan_licences(docs: DataFrame, notices=NOTICES, phrases=BASE_PHRASES) -> DataFrame:
     """One row per document with the licence phrases and notices in its whole text."""
 
+    small_batches(docs.sparkSession)
+
+    @lean
     def scan(batches):
         index = Index(notices, phrases)
         for batch in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.labelled import fold, lowest, quality_labels
-from gleaner.llm.textkit import INK_BYTES, U64, Chunk, chunks, mix, ngrams, string_rows
+from gleaner.llm.textkit import INK_BYTES, U64, Chunk, chunks, lean, mix, ngrams, small_batches, string_rows
 
 POSITIVES, UNLABELLED, CALIBRATE, BINS, STEPS, RATE, DECAY = 6000, 12000, 3000, 16, 400, 0.05, 3e-4
 THRESHOLD = 0.3
@@ -89,6 +89,7 @@ def measure(chunk: Chunk) -> np.ndarray:
     return np.stack(columns, 1).astype(np.float64)
 
 
+@lean
 def _measure_batches(batches):
     for batch in batches:
         rows = [measure(Chunk(held)) for _, texts in string_rows(batch) for _, held in chunks(texts)]
@@ -213,6 +214,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 def classify(docs: DataFrame, labels: DataFrame, keep_rows: bool = False) -> DataFrame:
     """Score every document; with ``keep_rows`` the documents' own columns of those predicted 1 instead."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def scores(batch) -> np.ndarray:
@@ -222,6 +224,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep_rows: bool = False) -> Dat
                 rows.append(np.full(len(held), 0.5) if model.value is None else model.value.score(measure(Chunk(held))))
         return np.concatenate(rows) if rows else np.empty(0)
 
+    @lean
     def score(batches):
         for batch in batches:
             s = scores(batch)
@@ -230,6 +233,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep_rows: bool = False) -> Dat
                 [*columns, pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"])
 
+    @lean
     def keep(batches):
         for batch in batches:
             yield batch.filter(pa.array(scores(batch) >= THRESHOLD, pa.bool_()))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.labelled import lowest, quality_labels
-from gleaner.llm.textkit import INK_BYTES, U64, Chunk, chunks, mix, ngrams, string_rows
+from gleaner.llm.textkit import INK_BYTES, U64, Chunk, chunks, lean, mix, ngrams, small_batches, string_rows
 
 BITS, KINDS, SCALE = 16, 5, 40.0
 PER_CLASS, CALIBRATE, STEPS, RATE, DECAY = 800, 1000, 120, 0.25, 1e-4
@@ -109,6 +109,7 @@ def sparse_rows(chunk: Chunk) -> list[tuple[bytes, bytes]]:
     return [(join(i, np.int32), join(v, np.float32)) for i, v in parts]
 
 
+@lean
 def _featurise(batches):
     for batch in batches:
         rows: list[tuple[bytes, bytes]] = []
@@ -199,9 +200,11 @@ SCHEMA = (
 
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: the counts, whether they fail it, the model's probability and the verdict."""
+    small_batches(docs.sparkSession)
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def score(batches):
         model = shared.value
         for batch in batches:

@@ -8,9 +8,13 @@ work per byte is a handful of numpy operations and never a Python loop.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
@@ -112,3 +116,34 @@ def string_rows(batch, column: str = "text", rows: int = 512) -> Iterator[tuple[
     col = batch.column(batch.schema.get_field_index(column))
     for i in range(0, len(col), rows):
         yield i, col.slice(i, rows).to_pylist()
+
+
+BATCH_ROWS = 1000
+
+
+def small_batches(spark) -> None:
+    """Send texts to Python in batches of at most ``BATCH_ROWS`` rows, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def lean(f: Callable) -> Callable:
+    """A batch function that gives the memory it freed back to the system when its partition ends.
+
+    Python workers live on between tasks and operators; what their allocators keep adds up.
+    """
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
