@@ -22,7 +22,7 @@ from gleaner.llm.line_dedup import without_repeated_lines
 from gleaner.llm.mixing import mixed_documents
 from gleaner.llm.near_dedup import deduplicated
 from gleaner.llm.quality_pu import classify
-from gleaner.llm.workspace import Workspace
+from gleaner.llm.workspace import Workspace, release
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +30,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)  # here and below: the stage before is written, so its scratch tables can go
     return without_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return encode_documents(docs, word_vocabulary())
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.linking import WORDS, classes, short_shingle
-from gleaner.llm.textkit import U64, Chunk, chunks, mix, ngrams, string_rows
+from gleaner.llm.textkit import U64, Chunk, chunks, lean, mix, ngrams, small_batches, string_rows
 from gleaner.llm.workspace import Workspace
 
 REGISTERS, BANDS, ROWS, SEEN = 64, 16, 4, 500_000
@@ -51,7 +51,7 @@ def prob_minhash(value: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: in
         state = mix(state + U64(0x9E3779B97F4A7C15))
         uniform = ((state >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
         clock = clock - np.log(uniform) / weight[live]
-        spot = owner[live] * m + (mix(state) % U64(m)).astype(np.int64)
+        spot = owner[live] * m + (((mix(state) >> U64(32)) * U64(m)) >> U64(32)).astype(np.int64)
         np.minimum.at(time, spot, clock)
         won = time[spot] == clock
         best[spot[won]] = value[live[won]]
@@ -69,6 +69,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+@lean
 def _bands(batches):
     seen: set[int] = set()
     for batch in batches:
@@ -92,6 +93,7 @@ def _bands(batches):
 
 def near_classes(docs: DataFrame, ws: Workspace) -> DataFrame:
     """(id, component) of texts that link with another text; ids are ``text_id``s."""
+    small_batches(docs.sparkSession)
     source = docs.select(text_id().alias("id"), "text")
     bands = source.mapInArrow(_bands, "bucket long, id long")
 
@@ -128,10 +130,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     ws = Workspace(docs.sparkSession, "deduplicated")
     rows = ws.save(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = near_classes(rows, ws)
-    slim = rows.select("_row", "doc_id", text_id().alias("id"))
-    first = slim.groupBy("id").agg(F.min(F.struct("doc_id", "id", "_row")).alias("first"))
-    best = first.join(found, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first"))
-    return rows.join(ws.save(best.select("first._row")), "_row", "left_semi").drop("_row")
+    member = rows.select("_row", "doc_id", text_id().alias("id")).join(found, "id", "left")
+    member = ws.save(member.select("_row", "doc_id", "id", F.coalesce("component", "id").alias("component")))
+    several = ws.save(member.groupBy("component").agg(F.min(F.struct("doc_id", "id", "_row")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    # those that go are fewer than those that stay
+    gone = ws.save(member.join(several, "component").where(F.col("_row") != F.col("first._row")).select("_row"))
+    return rows.join(gone, "_row", "left_anti").drop("_row")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

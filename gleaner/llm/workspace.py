@@ -27,10 +27,13 @@ def scratch_root(spark: SparkSession) -> str:
 class Workspace:
     """A folder of intermediate tables of one operator call."""
 
+    live: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.name = spark, name
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        Workspace.live.append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return the frame that reads it back."""
@@ -43,8 +46,22 @@ class Workspace:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete saved tables that nothing lazy reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._gleaner_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(df._gleaner_path)
+
+    def clear(self) -> None:
+        """Delete all tables of this workspace."""
+        self._delete(self.path)
+        if self in Workspace.live:
+            Workspace.live.remove(self)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession, keep: str = "pipeline") -> None:
+    """Delete the workspaces of operators whose results were written elsewhere; those named ``keep`` stay."""
+    for ws in list(Workspace.live):
+        if ws.spark is spark and ws.name != keep:
+            ws.clear()
