@@ -135,8 +135,8 @@ def build_forest(vectors: DataFrame, ws: Workspace) -> DataFrame:
         split = ws.save(split)
         done.append(split.where("stuck").select("id", F.col("node").alias("leaf"), "stuck"))
         open_ = split.where("not stuck").select("id", "v", "node")
-    leaves = done[0]
-    for d in done[1:]:
+    leaves = open_.select("id", F.col("node").alias("leaf"), F.lit(False).alias("stuck")).limit(0)
+    for d in done:
         leaves = leaves.unionByName(d)
     return leaves
 
