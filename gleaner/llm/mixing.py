@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.ranking import bucket_bits, running_total
+from gleaner.llm.textkit import lean, small_batches
 from gleaner.llm.workspace import Workspace
 
 BLOCK, OUTPUT_SHARDS, SEED, ROUNDS, MOST_TIMES = 64, 64, 7, 14, 3
@@ -89,7 +90,9 @@ class Mix:
         sizes = [r["size"] for r in found]
         wanted = targets(sizes, [1 + i % 3 for i in range(len(found))])
         blocks = [-(-n // block) for n in sizes]
-        slots = [min(round(t / block), MOST_TIMES * b) for t, b in zip(wanted, blocks, strict=True)]
+        # a whole pass over a source has a short last block, which its slots make up for
+        lack = [(t // n) * (b * block - n) if n else 0 for t, n, b in zip(wanted, sizes, blocks, strict=True)]
+        slots = [min(round((t + x) / block), MOST_TIMES * b) for t, x, b in zip(wanted, lack, blocks, strict=True)]
         self.sources = spark.createDataFrame(
             [(r["_source"], i, sizes[i], wanted[i], blocks[i]) for i, r in enumerate(found)],
             "_source string, _sid int, source_size long, target double, _blocks long",
@@ -134,11 +137,12 @@ class Mix:
 def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """One row per document: how many of its words the mix takes, repeats counted."""
     mix = Mix(Workspace(docs.sparkSession, "mix"), docs, block, seed)
+    # runs of block numbers shuffle to almost nothing, so a size check on shuffled bytes would broadcast them
     taken = (
-        mix.pieces().join(mix.uses, ["_sid", "block"])
+        mix.pieces().join(mix.uses.hint("merge"), ["_sid", "block"])
         .groupBy("_at").agg(F.sum((F.col("_to") - F.col("_from")) * F.col("uses")).alias("taken"))
     )
-    return mix.rows.join(taken, "_at", "left").select(
+    return mix.rows.join(taken.hint("merge"), "_at", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
 
@@ -151,25 +155,27 @@ def mixed_documents(docs: DataFrame, block: int = 256, seed: int = SEED) -> Data
     are those of ``docs``, with ``n_chars`` recomputed.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ws = Workspace(spark, "mixed")
     kept = ws.save(docs.withColumn("_row", F.monotonically_increasing_id()))
     mix = Mix(ws, kept, block, seed)
     passes = mix.slots.join(mix.sources.select("_sid", "_blocks"), "_sid").select(
         "_sid", "block", F.floor(F.col("slot") / F.col("_blocks")).alias("pass"))
     spans = (
-        mix.pieces().join(passes, ["_sid", "block"])
+        mix.pieces().join(passes.hint("merge"), ["_sid", "block"])
         .groupBy("_at", "pass").agg(F.sort_array(F.collect_list(F.struct("_from", "_to"))).alias("spans"))
     )
-    rows = mix.rows.select("_at", "_row", "size").join(spans, "_at").groupBy("_row", "size").agg(
-        F.collect_list(F.struct(F.col("pass"), F.col("spans"))).alias("passes"))
-    out = kept.join(rows, "_row").withColumn("passes", F.sort_array("passes")).withColumn("_p", F.explode("passes"))
-    whole = F.aggregate("_p.spans", F.lit(0).cast("long"), lambda a, s: a + s["_to"] - s["_from"]) == F.col("size")
+    rows = mix.rows.select("_at", "_row", F.col("size").alias("_size")).join(spans, "_at").groupBy("_row", "_size").agg(
+        F.collect_list(F.struct(F.col("pass"), F.col("spans"))).alias("_passes"))
+    out = kept.join(rows, "_row").withColumn("_p", F.explode(F.sort_array("_passes")))
+    whole = F.aggregate("_p.spans", F.lit(0).cast("long"), lambda a, s: a + s["_to"] - s["_from"]) == F.col("_size")
     out = out.withColumn("_spans", F.when(~whole, F.col("_p.spans")))
     names = docs.columns
     cut = out.select(*names, "_spans").mapInArrow(_cut_batches, out.select(*names).schema)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else cut
 
 
+@lean
 def _cut_batches(batches):
     import re
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bucket_bits(n_rows: int, rows_per_bucket: int = 16384) -> int:
+def bucket_bits(n_rows: int, rows_per_bucket: int = 2048) -> int:
     """Bits of bucket number so that a bucket holds about ``rows_per_bucket`` rows."""
     return min(40, max(0, (max(n_rows, 1) // rows_per_bucket).bit_length()))
 
