@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 from gleaner.llm.workspace import Workspace
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every edge leads to a centre: one edge out of a node, and none into one that has an edge out."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    nodes = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return not nodes.where("out > 1 or (out = 1 and into = 1)").limit(1).count()
 
 
 def components(edges: DataFrame, ws: Workspace) -> DataFrame:
@@ -24,8 +28,7 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     now = ws.save(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    seen = _fingerprint(now)
-    while seen[0]:
+    while not _is_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = ws.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = ws.save(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -33,10 +36,6 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
         small = large.join(low2, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         after = ws.save(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
         ws.drop(now, low, large, low2)
-        found = _fingerprint(after)
         now = after
-        if found == seen:
-            break
-        seen = found
     members = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return members.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

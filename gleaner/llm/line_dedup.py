@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.linking import CHARS, char_grams, classes
 from gleaner.llm.near_dedup import band_keys, prob_minhash
-from gleaner.llm.textkit import INK_BYTES, U64, Chunk, chunks, mix, string_rows
+from gleaner.llm.textkit import INK_BYTES, U64, Chunk, chunks, lean, mix, small_batches, string_rows
 from gleaner.llm.workspace import Workspace
 
-MIN_CHARS, BANDS, ROWS, BORDER, SEEN = 20, 14, 4, 224, 1_000_000
+MIN_CHARS, BANDS, ROWS, BORDER, SEEN = 20, 12, 4, 72, 1_000_000
 M = BANDS * ROWS
 
 
@@ -43,15 +43,26 @@ class Lines:
         start = np.concatenate(([0], end[:-1] + 1))
         doc = chunk.doc_of(start)
         number = np.arange(len(start)) - np.searchsorted(doc, doc, side="left")
-        ink = np.flatnonzero(INK_BYTES[chunk.buf])
-        a, z = np.searchsorted(ink, start), np.searchsorted(ink, end)
-        full = np.flatnonzero(z > a)
-        start, end = ink[a[full]], ink[z[full] - 1] + 1
+        full = np.arange(len(start))
+        for edge in (0, 1):  # cut blanks at the ends, a byte of all lines at a time
+            for _ in range(8):
+                blank = np.flatnonzero((start < end) & ~INK_BYTES[chunk.buf[end - 1 if edge else start]])
+                if edge:
+                    end[blank] -= 1
+                else:
+                    start[blank] += 1
+        for i in np.flatnonzero((start < end) & ~(INK_BYTES[chunk.buf[start]] & INK_BYTES[chunk.buf[end - 1]])).tolist():
+            raw = chunk.buf[start[i] : end[i]].tobytes()  # the few lines with long blank ends
+            start[i] += len(raw) - len(raw.lstrip())
+            end[i] -= len(raw) - len(raw.rstrip()) if raw.strip() else 0
+        full = full[start < end]
+        start, end = start[full], end[full]
         #: characters before each byte
         self.points = np.concatenate(([0], np.cumsum((chunk.buf & 0xC0) != 0x80)))
         long = self.points[end] - self.points[start] >= MIN_CHARS
         self.start, self.end, self.doc, self.number = start[long], end[long], doc[full][long], number[full][long]
         self.id = chunk.span_hash(self.start, self.end).view(np.int64)
+        self.n_lines = np.bincount(doc, minlength=chunk.n)
 
 
 def line_chunks(batch):
@@ -61,20 +72,11 @@ def line_chunks(batch):
             yield first + at, Lines(held)
 
 
-def _occurrences(batches):
-    for batch in batches:
-        doc_id = batch.column(batch.schema.get_field_index("doc_id"))
-        key = batch.column(batch.schema.get_field_index("row"))
-        for first, lines in line_chunks(batch):
-            at = pa.array(lines.doc + first)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lines.id), doc_id.take(at), key.take(at), pa.array(lines.number.astype(np.int32))], names=["line", "doc_id", "row", "at"])
-
-
 def one_permutation(value: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """(n, M) minima of one hash over M bins; an empty bin borrows from a bin that its number draws."""
     sig = np.full(n * M, np.iinfo(np.uint64).max, U64)
-    np.minimum.at(sig, owner * M + (value % U64(M)).astype(np.int64), mix(value))
+    spot = ((value >> U64(32)) * U64(M)) >> U64(32)  # the bin, from the upper bits
+    np.minimum.at(sig, owner * M + spot.astype(np.int64), value)
     sig = sig.reshape(n, M)
     empty = sig == np.iinfo(np.uint64).max
     out, turn = sig.copy(), 0
@@ -87,13 +89,13 @@ def one_permutation(value: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def sign(lines: Lines, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line id, band keys) of the picked lines of a chunk."""
+def sign(lines: Lines, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the line, its place in ``pick``, band keys); a line near the border comes twice."""
     points = np.frombuffer(lines.chunk.buf.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
     grams = char_grams(points)
     first = lines.points[lines.start[pick]]
     n = lines.points[lines.end[pick]] - first - CHARS + 1
-    ids, keys = [], []
+    found, keys = [np.empty(0, np.int64)], [np.empty((0, BANDS), np.int64)]
     for short in (True, False):
         own = np.flatnonzero(n < BORDER / 0.78 if short else n >= BORDER * 0.78)
         if not len(own):
@@ -104,64 +106,95 @@ def sign(lines: Lines, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             sig = prob_minhash(value, owner, np.ones(len(value)), len(own), M)
         else:
             sig = one_permutation(value, owner, len(own))
-        ids.append(lines.id[pick][own])
+        found.append(own)
         keys.append(band_keys(sig, BANDS, ROWS) ^ np.int64(short))
-    return (np.concatenate(ids), np.concatenate(keys)) if ids else (np.empty(0, np.int64), np.empty((0, BANDS), np.int64))
+    at = np.concatenate(found)
+    return pick[at], at, np.concatenate(keys)
+
 
+@lean
+def _read(batches):
+    """For every document a row with its number of lines, and one for each of its counting lines.
 
-def _bands(batches):
+    A line carries its band keys the first time that this task meets it.
+    """
     seen: set[int] = set()
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
     for batch in batches:
-        for _, lines in line_chunks(batch):
-            new = [i for i, x in enumerate(lines.id.tolist()) if not (x in seen or seen.add(x))]
+        doc_id = batch.column(batch.schema.get_field_index("doc_id"))
+        key = batch.column(batch.schema.get_field_index("row"))
+        for first, lines in line_chunks(batch):
+            new = np.array([x not in seen and not seen.add(x) for x in lines.id.tolist()], bool)
             if len(seen) > SEEN:
                 seen.clear()
-            if new:
-                ids, keys = sign(lines, np.array(new))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, BANDS))], names=["bucket", "id"])
-
-
+            of, picked, keys = sign(lines, np.flatnonzero(new))
+            n = lines.chunk.n
+            docs, at = np.arange(n) + first, lines.doc + first
+            for line, doc, number, bands in (
+                (pa.nulls(n, pa.int64()), docs, lines.n_lines, None),
+                (pa.array(lines.id[~new]), at[~new], lines.number[~new], None),
+                (pa.array(lines.id[of]), at[of], lines.number[of], keys),
+            ):
+                take = pa.array(doc)
+                held = pa.nulls(len(doc), kinds[4]) if bands is None else pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(doc) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+                columns = [line, doc_id.take(take), key.take(take), pa.array(number.astype(np.int32)), held]
+                yield pa.RecordBatch.from_arrays(columns, names=["line", "doc_id", "row", "at", "bands"])
+
+
+@lean
 def _line_texts(batches):
+    """The texts of the wanted line ids of each document."""
     for batch in batches:
-        wanted = batch.column(batch.schema.get_field_index("wanted"))
-        ids, out = [], []
-        for first, texts in string_rows(batch, rows=64):
-            for t, want in zip(texts, wanted.slice(first, len(texts)).to_pylist(), strict=True):
-                parts = (t or "").lower().split("\n")
-                for w in want:
-                    ids.append(w["id"])
-                    out.append(parts[w["at"]].strip(" \t\n\x0b\x0c\r"))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "text"])
-
-
-def dropped_lines(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """(row, dropped): for each document that loses lines, their sorted numbers; ``row`` is ``row_key()``."""
-    source = docs.select("doc_id", "text", row_key().alias("row"))
-    seen = ws.save(source.mapInArrow(_occurrences, "line long, doc_id long, row long, at int"))
-    place = F.struct("doc_id", "row", "at")
-    lines = ws.save(seen.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        wanted = lines.join(ids.withColumnRenamed("id", "line"), "line").groupBy(F.col("first.row").alias("row")).agg(
-            F.collect_list(F.struct(F.col("first.at").alias("at"), F.col("line").alias("id"))).alias("wanted"))
-        texts = source.select("row", "text").join(wanted, "row").select("text", "wanted")
-        return texts.mapInArrow(_line_texts, "id long, text string").groupBy("id").agg(F.first("text").alias("text"))
-
-    linked = classes(source.mapInArrow(_bands, "bucket long, id long"), fetch, "chars", ws)
-    of = lines.join(linked.withColumnRenamed("id", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
-    of = ws.save(of)
-    stays = ws.save(of.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("n")).where("n > 1"))
-    repeated = ws.save(of.select("line", "component").join(stays, "component").select("line", "stays"))
-    lost = seen.join(repeated, "line").where(place != F.col("stays"))
-    return ws.save(lost.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("dropped")))
+        wanted = batch.column(batch.schema.get_field_index("wanted")).to_pylist()
+        for first, lines in line_chunks(batch):
+            raw = lines.chunk.buf.tobytes()
+            rest = [set(w) for w in wanted[first : first + lines.chunk.n]]
+            ids, out = [], []
+            for line, doc, a, z in zip(lines.id.tolist(), lines.doc.tolist(), lines.start.tolist(), lines.end.tolist(), strict=True):
+                if line in rest[doc]:
+                    rest[doc].discard(line)
+                    ids.append(line)
+                    out.append(raw[a:z].decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "text"])
+
+
+class Repeats:
+    """What repeats in ``docs``: ``counts`` (doc_id, row, n_lines) and ``dropped`` (row, sorted line numbers); ``row`` is ``row_key()``."""
+
+    def __init__(self, docs: DataFrame, ws: Workspace):
+        small_batches(docs.sparkSession)
+        source = docs.select("doc_id", "text", row_key().alias("row"))
+        read = ws.save(source.mapInArrow(_read, "line long, doc_id long, row long, at int, bands array<long>"))
+        self.counts = read.where("line is null").select("doc_id", "row", F.col("at").cast("long").alias("n_lines"))
+        # a line near the border has two rows with bands but is one occurrence
+        seen = read.where("line is not null").select("line", "doc_id", "row", "at")
+        place = F.struct("doc_id", "row", "at")
+        lines = ws.save(seen.groupBy("line").agg(F.min("row").alias("row"), F.count("*").alias("n")))
+
+        def fetch(ids: DataFrame) -> DataFrame:
+            wanted = lines.join(ids.withColumnRenamed("id", "line"), "line").groupBy("row").agg(F.collect_list("line").alias("wanted"))
+            # the side of line ids is hashed, so that whole texts need no sorting
+            texts = source.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("text", "wanted")
+            return texts.mapInArrow(_line_texts, "id long, text string").groupBy("id").agg(F.first("text").alias("text"))
+
+        bands = read.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("line").alias("id"))
+        linked = classes(bands, fetch, "chars", ws)
+        # most lines neither recur nor link: only the others' places matter
+        of = lines.join(linked.withColumnRenamed("id", "line"), "line", "left").where("n > 1 or component is not null")
+        of = of.select("line", F.coalesce("component", "line").alias("component"))
+        many = ws.save(seen.join(of, "line").select("component", place.alias("place")))
+        stays = ws.save(many.groupBy("component").agg(F.min("place").alias("stays")))
+        lost = many.join(stays, "component").where(F.col("place") != F.col("stays"))
+        self.dropped = ws.save(lost.groupBy("place.row").agg(F.sort_array(F.collect_set("place.at")).alias("dropped")))
+        ws.drop(lines, linked, many, stays)
+        self.read = read
 
 
 def line_counts(docs: DataFrame) -> DataFrame:
     """One row per document: its lines, how many stay, and the numbers (from 0) of those that go."""
-    ws = Workspace(docs.sparkSession, "lines")
-    dropped = dropped_lines(docs, ws)
-    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
-    rows = docs.select("doc_id", row_key().alias("row"), n_lines.alias("n_lines")).join(dropped, "row", "left")
+    found = Repeats(docs, Workspace(docs.sparkSession, "lines"))
+    rows = found.counts.join(found.dropped, "row", "left")
     gone = F.coalesce("dropped", F.array().cast("array<int>"))
     return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.size(gone)).cast("long").alias("n_kept"), gone.alias("dropped"))
 
@@ -169,7 +202,9 @@ def line_counts(docs: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated lines cut from ``text`` (and ``n_chars`` recomputed where there is one)."""
     ws = Workspace(docs.sparkSession, "lines")
-    dropped = dropped_lines(docs, ws)
+    found = Repeats(docs, ws)
+    ws.drop(found.read)
+    dropped = found.dropped
     names = docs.columns
     joined = docs.withColumn("_row", row_key()).join(dropped.select(F.col("row").alias("_row"), F.col("dropped").alias("_dropped")), "_row", "left")
     parts = F.split("text", "\n", -1)

@@ -13,18 +13,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.components import components
-from gleaner.llm.textkit import U64, Chunk, mix, ngrams
+from gleaner.llm.textkit import U64, Chunk, lean, mix, ngrams
 from gleaner.llm.workspace import Workspace
 
 THRESHOLD, TILE, WORDS, CHARS = 0.8, 512, 5, 8
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; much cheaper than ``np.unique`` on short arrays."""
+    h = np.sort(h)
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
+
+
 def word_shingles(text: str) -> np.ndarray:
     """Sorted distinct 64-bit shingles of five words; a shorter text is one shingle."""
     chunk = Chunk([text.lower().encode("utf-8")])
@@ -32,7 +37,7 @@ def word_shingles(text: str) -> np.ndarray:
     h = chunk.span_hash(starts, ends)
     if 0 < len(h) < WORDS:
         return short_shingle(h, doc, 1)[0]
-    return np.unique(ngrams(h, doc, WORDS)[0])
+    return distinct(ngrams(h, doc, WORDS)[0])
 
 
 def short_shingle(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +54,7 @@ def short_shingle(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarr
 
 def char_grams(points: np.ndarray) -> np.ndarray:
     """Hashes of all windows of eight code points, by doubling."""
-    h = mix(points.astype(U64) + U64(0x51ED27))
+    h = (points.astype(U64) + U64(0x51ED27)) * U64(0xC2B2AE3D27D4EB4F)
     for step, factor in ((1, 0x9FB21C651E98DF25), (2, 0xD6E8FEB86659FD93), (4, 0x880355F21E6D1965)):
         if len(h) <= step:
             return h[:0]
@@ -60,7 +65,7 @@ def char_grams(points: np.ndarray) -> np.ndarray:
 def char_shingles(text: str) -> np.ndarray:
     grams = char_grams(np.frombuffer(text.encode("utf-32-le"), np.uint32))
     if len(grams):
-        return np.unique(grams)
+        return distinct(grams)
     return np.frombuffer(text.encode("utf-32-le").ljust(32, b"\0")[:32], U64)[:1] if text else np.empty(0, U64)
 
 
@@ -68,86 +73,127 @@ SHINGLES: dict[str, Callable[[str], np.ndarray]] = {"words": word_shingles, "cha
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    joined = np.concatenate((a, b))
+    joined.sort()
+    both = int(np.count_nonzero(joined[1:] == joined[:-1]))
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    small, large = sorted((len(a), len(b)))
+    return small > 0 and small >= threshold * large and jaccard(a, b) >= threshold
+
+
 def _verify(kind: str, threshold: float):
+    @lean
     def verify(batches):
         shingles = SHINGLES[kind]
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ta, tb = batch.column(2), batch.column(3)
             known: dict[int, np.ndarray] = {}
-            out = []
+            keep = []
             for i in range(batch.num_rows):
-                for at, col in ((a[i], 2), (b[i], 3)):
-                    if at not in known:
-                        if len(known) > 4096:
-                            known.clear()
-                        known[at] = shingles(batch.column(col)[i].as_py() or "")
                 x, y = known.get(a[i]), known.get(b[i])
                 if x is None:
-                    x = known[a[i]] = shingles(batch.column(2)[i].as_py() or "")
-                small, large = sorted((len(x), len(y)))
-                out.append(bool(small) and small >= threshold * large and jaccard(x, y) >= threshold)
-            keep = np.flatnonzero(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["a", "b"])
+                    x = known[a[i]] = shingles(ta[i].as_py() or "")
+                if y is None:
+                    y = known[b[i]] = shingles(tb[i].as_py() or "")
+                if similar(x, y, threshold):
+                    keep.append(i)
+                if len(known) > 4096:
+                    known.clear()
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     return verify
 
 
-def _compare_tile(kind: str, threshold: float):
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        shingles = SHINGLES[kind]
-        pdf = pdf.drop_duplicates("id").sort_values("id").reset_index(drop=True)
-        n = len(pdf)
-        sets = [shingles(t or "") for t in pdf.text]
-        size = np.array([len(s) for s in sets], np.float64)
-        values, at = np.unique(np.concatenate(sets) if sets else np.empty(0, U64), return_inverse=True)
+def _tile_links(ids: list[int], labels: list[int], blocks: list[int], sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between rows of different labels (and, in a tile of two blocks, of different blocks)."""
+    n = len(ids)
+    cross = len(set(blocks)) > 1
+    if n <= 12:
+        pairs = [
+            (i, j) for i in range(n) for j in range(i + 1, n)
+            if labels[i] != labels[j] and not (cross and blocks[i] == blocks[j]) and similar(sets[i], sets[j], threshold)]
+    else:
+        size = np.array([len(x) for x in sets], np.float64)
+        values, at = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(n), size.astype(np.int64))
-        both = np.zeros((n, n), np.float32)
         order = np.argsort(at, kind="stable")
         at, owner = at[order], owner[order]
+        both = np.zeros((n, n), np.float32)
         for lo in range(0, len(values), 8192):
             a, z = np.searchsorted(at, [lo, lo + 8192])
             m = np.zeros((n, min(8192, len(values) - lo)), np.float32)
             m[owner[a:z], at[a:z] - lo] = 1
             both += m @ m.T
-        union = size[:, None] + size[None, :] - both
-        label, block = pdf.label.to_numpy(), pdf.block.to_numpy()
-        ok = (both > 0) & (both >= threshold * union - 1e-9) & (label[:, None] != label[None, :])
-        if len(set(block)) > 1:
+        label, block = np.array(labels), np.array(blocks)
+        ok = (both > 0) & (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9) & (label[:, None] != label[None, :])
+        if cross:
             ok &= block[:, None] != block[None, :]
         i, j = np.nonzero(np.triu(ok, 1))
-        ids = pdf.id.to_numpy()
-        # a spanning forest of this tile's links is enough for the components
-        parent = list(range(n))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        kept = []
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            rx, ry = root(x), root(y)
-            if rx != ry:
-                parent[max(rx, ry)] = min(rx, ry)
-                kept.append((x, y))
-        return pd.DataFrame({"a": ids[[x for x, _ in kept]], "b": ids[[y for _, y in kept]]}).astype("int64")
+        pairs = list(zip(i.tolist(), j.tolist(), strict=True))
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for x, y in pairs:
+        rx, ry = root(x), root(y)
+        if rx != ry:
+            parent[max(rx, ry)] = min(rx, ry)
+            kept.append((ids[x], ids[y]))
+    return kept
+
+
+def _compare_tiles(kind: str, threshold: float):
+    """Over rows sorted by (bucket, i, j, id): one tile at a time, whatever batch its rows come in."""
+
+    @lean
+    def compare(batches):
+        shingles = SHINGLES[kind]
+        key, rows = None, {}
+        for batch in batches:
+            head = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            ids, labels, blocks = (batch.column(c).to_pylist() for c in (3, 4, 5))
+            text = batch.column(6)
+            found = []
+            for r, now in enumerate(head):
+                if now != key:
+                    found += _finish(rows, threshold)
+                    key, rows = now, {}
+                if ids[r] not in rows:
+                    rows[ids[r]] = (labels[r], blocks[r], shingles(text[r].as_py() or ""))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+        found = _finish(rows, threshold)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     return compare
 
 
+def _finish(rows: dict, threshold: float) -> list[tuple[int, int]]:
+    if len(rows) < 2:
+        return []
+    labels, blocks, sets = zip(*rows.values(), strict=True)
+    return _tile_links(list(rows), list(labels), list(blocks), list(sets), threshold)
+
+
 def shared_buckets(bands: DataFrame, ws: Workspace) -> DataFrame:
     """(bucket, id, n) of the buckets with two distinct ids or more; ``bands`` may repeat rows."""
-    dealt = bands.repartition("bucket").distinct()
-    return ws.save(dealt.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"))
+    whole = Window.partitionBy("bucket")
+    several = bands.withColumn("low", F.min("id").over(whole)).withColumn("high", F.max("id").over(whole)).where("low <> high")
+    return ws.save(several.select("bucket", "id").distinct().withColumn("n", F.count("*").over(whole)))
 
 
 def classes(bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], kind: str, ws: Workspace, threshold: float = THRESHOLD) -> DataFrame:
     """(id, component) of the ids that link with another; ``fetch(ids)`` gives (id, text)."""
+    out, ws = ws, Workspace(ws.spark, "linking")
     held = shared_buckets(bands, ws)
     score = ws.save(held.groupBy("id").agg(F.sum("n").alias("score")))
     hubs = ws.save(
@@ -173,8 +219,11 @@ def classes(bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], kind: str
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = rows.join(texts, "id").select(
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "label", "block", "text")
-    more = tiles.groupBy("bucket", "i", "j").applyInPandas(_compare_tile(kind, threshold), "a long, b long")
-    more = ws.save(more)
-    if not more.limit(1).count():
-        return found
-    return ws.save(components(links.unionByName(more), ws))
+    dealt = tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
+    more = ws.save(dealt.mapInArrow(_compare_tiles(kind, threshold), "a long, b long"))
+    # the components found stand for their links
+    known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    final = components(known.unionByName(more), ws) if more.limit(1).count() else found
+    final = out.save(final)
+    ws.clear()
+    return final
