@@ -64,12 +64,21 @@ def cap_group(df: DataFrame, group: str, name: str, most: int, *order: Column) -
     return df.withColumn("_place", place).where(~capped | (F.col("_place") <= most)).drop("_place")
 
 
-def complete(ranking: DataFrame, universe: DataFrame, item: str, order: Column) -> DataFrame:
-    """A ranking (item, rank) followed by all unranked items in ``order``: every item gets a position."""
-    rest = universe.join(ranking, item, "left_anti").select(item, F.lit(1).alias("_class"), F.lit(0).cast("long").alias("_rank"), order.alias("_order"))
-    own = ranking.select(item, F.lit(0).alias("_class"), F.col("rank").cast("long").alias("_rank"), F.lit("").alias("_order"))
-    place = F.row_number().over(Window.orderBy("_class", "_rank", "_order", item)).cast("long")
-    return own.unionByName(rest).withColumn("position", place).select(item, "position")
+def complete(ranking: DataFrame, universe: DataFrame, item: str, order: Column, digits: int = 3) -> DataFrame:
+    """A ranking (item, rank) followed by all unranked items by ``order``, a text: every item gets a position.
+
+    Unranked items are numbered inside buckets of their order's first characters, from
+    each bucket's offset, so that the universe is never sorted in one task.
+    """
+    rest = universe.join(ranking, item, "left_anti").select(item, F.lit(0).cast("long").alias("_rank"), order.alias("_order"))
+    rest = rest.withColumn("_bucket", F.concat(F.lit("1"), F.substring("_order", 1, digits)))
+    own = ranking.select(item, F.col("rank").cast("long").alias("_rank"), F.lit("").alias("_order"), F.lit("0").alias("_bucket"))
+    every = own.unionByName(rest)
+    sizes = every.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # buckets only
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_rank", "_order", item))
+    return every.join(offsets, "_bucket").select(item, (F.col("_offset") + place).cast("long").alias("position"))
 
 
 def protected(control: DataFrame, extra: DataFrame, prefix: int, most: int, size: int) -> DataFrame:
