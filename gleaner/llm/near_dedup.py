@@ -6,8 +6,12 @@ is a Poisson process whose rate is its weight: its arrivals fall on one of
 ``REGISTERS`` registers, a register keeps its earliest shingle, and a shingle stops
 when its next arrival is later than the latest register.  Registers of two documents
 agree with their probability Jaccard.  ``BANDS`` bands of ``ROWS`` registers make
-buckets; pairs are then verified on the whole texts by the Jaccard similarity of
-their shingle sets, 0.8 or more, and linked documents are one class.
+buckets.  That similarity falls below the Jaccard of the shingle sets where one
+side repeats a passage, so a document with repeated shingles is signed a second
+time with all weights 1, and such registers agree with the sets' Jaccard; without
+repeats both signatures are the same, so all share one space of buckets.  Pairs
+are then verified on the whole texts by the Jaccard similarity of their shingle
+sets, 0.8 or more, and linked documents are one class.
 
 Cases: equal texts are one class whatever their length, texts without words too,
 which link with no other text; texts of one to four words are one shingle; null
@@ -69,6 +73,17 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def signatures(value: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, registers): each document with shingles once, and again with weights 1 where shingles repeat."""
+    some = np.flatnonzero(np.bincount(owner, minlength=n))
+    again = np.flatnonzero(np.bincount(owner[weight > 1], minlength=n))
+    place = np.full(n, -1)
+    place[again] = np.arange(len(again))
+    plain = place[owner] >= 0
+    sets = prob_minhash(value[plain], place[owner[plain]], np.ones(int(plain.sum())), len(again))
+    return np.concatenate([some, again]), np.concatenate([prob_minhash(value, owner, weight, n)[some], sets])
+
+
 @lean
 def _bands(batches):
     seen: set[int] = set()
@@ -83,10 +98,10 @@ def _bands(batches):
             for _, held in chunks([(t or "").lower() for _, t in own]):
                 chunk = Chunk(held)
                 value, owner, weight = weighted_shingles(chunk)
-                some = np.flatnonzero(np.bincount(owner, minlength=chunk.n))
-                if len(some):
-                    keys = band_keys(prob_minhash(value, owner, weight, chunk.n)[some], BANDS, ROWS)
-                    of = np.array([own[at + d][0] for d in some], np.int64)
+                if len(value):
+                    signed, registers = signatures(value, owner, weight, chunk.n)
+                    keys = band_keys(registers, BANDS, ROWS)
+                    of = np.array([own[at + d][0] for d in signed], np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(of, BANDS))], names=["bucket", "id"])
                 at += chunk.n
 

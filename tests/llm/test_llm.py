@@ -373,6 +373,18 @@ def test_prob_minhash_estimates_weighted_similarity():
     assert (twice != 0).all() and set(twice[1]) <= set(value[:5])
 
 
+def test_near_copies_with_a_repeated_passage(spark):
+    """Set Jaccard 156 / 185 whatever the repeats, while the weighted similarity falls with them."""
+    data, times = [], (1, 10, 30, 100)
+    for k in range(40):
+        text = " ".join(f"own{k}x{i}" for i in range(160))
+        line = " ".join(f"line{k}x{i}" for i in range(25))
+        data += [(2 * k, text), (2 * k + 1, "\n".join([text, *[line] * (1 + times[k % 4])]))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.label_documents(df).collect()} == {d: d // 2 * 2 for d, _ in data}
+    assert sorted(r["doc_id"] for r in near_dedup.deduplicated(df).collect()) == list(range(0, 80, 2))
+
+
 def test_lines_equal_brute_force(spark, awkward):
     rnd = random.Random(9)
     base = variants(12, 3)
