@@ -1,15 +1,17 @@
 """Fuzzy line dedup by MinHash of character shingles.
 
-Lines are the parts of a text between newlines; a line counts when it has
-``MIN_CHARS`` characters or more without the blanks at its ends, and is told by a
-64-bit hash of its lower-cased form.  Each distinct line is signed over its
+Lines are the parts of a text between newlines; a line counts when it is not
+blank, and is told by a 64-bit hash of its lower-cased form without the blanks at
+its ends.  Each distinct line of ``CHARS`` characters or more is signed over its
 shingles of eight characters (one-permutation hashing where it has enough of
 them, repeated throws where not; lines near the border are signed both ways),
 ``BANDS`` bands of ``ROWS`` make buckets, and pairs are verified by the exact
 Jaccard similarity of their shingle sets, 0.8 or more.  Of each component of
 linked lines the first occurrence by (doc_id, text hash, line number) stays.
 
-Cases: null text is empty; short lines always stay; rows repeated with the same
+Cases: null text is empty; blank lines always stay; a line of fewer than ``CHARS``
+characters is one shingle, so it links with equal lines only, which its hash
+tells; rows repeated with the same
 doc_id and text are treated alike, so both keep a first occurrence; an empty
 table gives an empty result; other columns pass through where rows are kept.
 """
@@ -26,7 +28,7 @@ from gleaner.llm.near_dedup import band_keys, prob_minhash
 from gleaner.llm.textkit import INK_BYTES, U64, Chunk, chunks, lean, mix, small_batches, string_rows
 from gleaner.llm.workspace import Workspace
 
-MIN_CHARS, BANDS, ROWS, BORDER, SEEN = 20, 12, 4, 72, 1_000_000
+BANDS, ROWS, BORDER, FEW, SEEN = 12, 4, 72, 13, 1_000_000
 M = BANDS * ROWS
 
 
@@ -59,8 +61,7 @@ class Lines:
         start, end = start[full], end[full]
         #: characters before each byte
         self.points = np.concatenate(([0], np.cumsum((chunk.buf & 0xC0) != 0x80)))
-        long = self.points[end] - self.points[start] >= MIN_CHARS
-        self.start, self.end, self.doc, self.number = start[long], end[long], doc[full][long], number[full][long]
+        self.start, self.end, self.doc, self.number = start, end, doc[full], number[full]
         self.id = chunk.span_hash(self.start, self.end).view(np.int64)
         self.n_lines = np.bincount(doc, minlength=chunk.n)
 
@@ -89,15 +90,16 @@ def one_permutation(value: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def sign(lines: Lines, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the line, its place in ``pick``, band keys); a line near the border comes twice."""
+def sign(lines: Lines, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the line, band keys); a line near the border comes twice, one without shingles not at all."""
     points = np.frombuffer(lines.chunk.buf.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
     grams = char_grams(points)
     first = lines.points[lines.start[pick]]
     n = lines.points[lines.end[pick]] - first - CHARS + 1
     found, keys = [np.empty(0, np.int64)], [np.empty((0, BANDS), np.int64)]
-    for short in (True, False):
-        own = np.flatnonzero(n < BORDER / 0.78 if short else n >= BORDER * 0.78)
+    # lines of few shingles take many turns to fill their registers: on their own they are few and cheap
+    for short, own in ((True, (n > 0) & (n < FEW)), (True, (n >= FEW) & (n < BORDER / 0.78)), (False, n >= BORDER * 0.78)):
+        own = np.flatnonzero(own)
         if not len(own):
             continue
         owner = np.repeat(np.arange(len(own)), n[own])
@@ -109,7 +111,7 @@ def sign(lines: Lines, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
         found.append(own)
         keys.append(band_keys(sig, BANDS, ROWS) ^ np.int64(short))
     at = np.concatenate(found)
-    return pick[at], at, np.concatenate(keys)
+    return pick[at], np.concatenate(keys)
 
 
 @lean
@@ -127,12 +129,14 @@ def _read(batches):
             new = np.array([x not in seen and not seen.add(x) for x in lines.id.tolist()], bool)
             if len(seen) > SEEN:
                 seen.clear()
-            of, picked, keys = sign(lines, np.flatnonzero(new))
+            of, keys = sign(lines, np.flatnonzero(new))
+            bare = np.ones(len(new), bool)  # met before, or without shingles
+            bare[of] = False
             n = lines.chunk.n
             docs, at = np.arange(n) + first, lines.doc + first
             for line, doc, number, bands in (
                 (pa.nulls(n, pa.int64()), docs, lines.n_lines, None),
-                (pa.array(lines.id[~new]), at[~new], lines.number[~new], None),
+                (pa.array(lines.id[bare]), at[bare], lines.number[bare], None),
                 (pa.array(lines.id[of]), at[of], lines.number[of], keys),
             ):
                 take = pa.array(doc)

@@ -63,10 +63,12 @@ def char_grams(points: np.ndarray) -> np.ndarray:
 
 
 def char_shingles(text: str) -> np.ndarray:
+    """Sorted distinct shingles of eight characters; a shorter text is one shingle."""
     grams = char_grams(np.frombuffer(text.encode("utf-32-le"), np.uint32))
     if len(grams):
         return distinct(grams)
-    return np.frombuffer(text.encode("utf-32-le").ljust(32, b"\0")[:32], U64)[:1] if text else np.empty(0, U64)
+    chunk = Chunk([text.encode("utf-8")])
+    return chunk.span_hash(chunk.starts, chunk.stops - 1) if text else np.empty(0, U64)
 
 
 SHINGLES: dict[str, Callable[[str], np.ndarray]] = {"words": word_shingles, "chars": char_shingles}

@@ -413,6 +413,26 @@ def test_lines_equal_brute_force(spark, awkward):
     assert line_dedup.line_counts(df.limit(0)).count() == 0
 
 
+def test_short_lines_equal_brute_force(spark):
+    rnd = random.Random(11)
+    pool = ["x", "é", "les.", "lesson", "ab", "abc", "menu", " Menu\t", "12345678", "1234567", "aaaaaaaaa", "aaaaaaaaaaaa", "All rights reserved", "all rights reserved.",
+            "ALL RIGHTS RESERVED", "read more >", "read more >>", "", "  ", "a longer line of text, 1", "a longer line of text, 2", "nineteen characters", "nineteen characters!"]
+    data = [(i, "\n".join(rnd.choice(pool) if rnd.random() < 0.5 else f"own {i * 10 + k}" for k in range(6))) for i in range(40)]
+    data += [(100, "twice\ntwice"), (101, "once here")]
+    lines = [(d, i, s.strip(" \t")) for d, t in data for i, s in enumerate(t.lower().split("\n")) if s.strip(" \t")]
+    text = [x[2] for x in lines]
+    sets = [{s[i : i + 8] for i in range(max(1, len(s) - 7))} for s in text]
+    roots = brute_classes(lines, sets, lambda i, j: text[i] == text[j])
+    gone = {}
+    for k, (x, r) in enumerate(zip(lines, roots, strict=True)):
+        if k != r:  # lines are in order, so a root is its component's first
+            gone.setdefault(x[0], []).append(x[1])
+    got = line_dedup.line_counts(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: list(r["dropped"]) for r in got} == {d: gone.get(d, []) for d, _ in data}
+    assert gone[100] == [1] and 101 not in gone
+    assert linking.char_shingles("abc") != linking.char_shingles("abd") and not len(linking.char_shingles(""))
+
+
 def test_span_hash_tells_spans_apart():
     chunk = Chunk([b"ab ab ba abab", b"", b"ab"])
     starts, ends, doc = chunk.words()
