@@ -8,7 +8,8 @@ the root; only the children of nodes that differ are looked at, level by level,
 until single records remain.
 
 Cases: null url or html are written as empty; rows equal in every used column
-are one record; a null page_id orders first; an empty archive has no rows.
+are one record, whose copies are counted; a null page_id orders first; an empty
+archive has no rows.
 """
 
 from __future__ import annotations
@@ -90,25 +91,64 @@ def mismatches(a: list[DataFrame], b: list[DataFrame], ws: Workspace, fanout: in
     return bad.select(F.col("node").alias("ordinal"))
 
 
+def places(records: DataFrame, key: str, name: str, ws: Workspace) -> DataFrame:
+    """``records`` with ``name``: their rank from 0 by (``key``, ordinal), counted in buckets of ``key``."""
+    n, low, high = records.agg(F.count("*"), F.min(key), F.max(key)).first()
+    width = max(1, ((high or 0) - (low or 0) + 1) * 4096 // max(n, 1))
+    rows = records.withColumn("_a", F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)))
+    before = Window.orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)  # bucket totals only
+    totals = rows.groupBy("_a").agg(F.count("*").alias("_n")).select("_a", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_k"))
+    inside = F.row_number().over(Window.partitionBy("_a").orderBy(key, "ordinal"))
+    return ws.save(rows.join(totals, "_a").withColumn(name, F.col("_k") + inside - 1).drop("_a", "_k"))
+
+
 def audit(replica_a: DataFrame, replica_b: DataFrame) -> DataFrame:
     """Compare two replicas of (page_id, digest, length); ``replica_b`` also names the ``expected`` digest it stores.
 
-    The manifest of replica A gives each record its place; a record of B takes
-    the place of the digest it was stored under, and a missing one leaves its leaf empty.
+    The manifest of replica A gives each record its leaf and byte range.  A leaf of
+    B hashes what B itself holds there: the digests of all copies, how often each
+    comes, and, where ``replica_b`` has its own byte ``offset``, the record's rank in
+    B's order among the records that both hold; a missing one leaves its leaf empty.
+    Without ``offset`` B is in the manifest's order.
+
+    One row per record of A, and one of status ``extra`` and no ordinal per record
+    that only B holds.  ``held`` and ``good`` count B's copies and the unaltered
+    ones; ``status`` names the worst: ``altered`` (a copy), ``missing`` (all copies or
+    some), ``extra`` (more copies than A's), ``moved`` (out of order), ``ok``.
     """
     ws = Workspace(replica_a.sparkSession, "warc")
     placed, n = lay_out(replica_a, ws)
     placed = ws.save(placed)
-    held = replica_b.groupBy("page_id", "expected").agg(F.min("digest").alias("found"))
+    ordered = "offset" in replica_b.columns
+    own = F.min("offset") if ordered else F.lit(None).cast("long")
+    kinds = replica_b.groupBy("page_id", "expected", F.col("digest").alias("found")).agg(F.count("*").alias("n"), own.alias("own"))
+    sound = F.when(F.col("found").eqNullSafe(F.col("expected")), F.col("n")).otherwise(0)
+    held = kinds.groupBy("page_id", "expected").agg(
+        F.sum("n").alias("held"), F.sum(sound).alias("good"), F.min("own").alias("found_offset"),
+        F.to_json(F.array_sort(F.collect_list(F.struct("found", "n")))).alias("content"))
     same = [F.col("m.page_id").eqNullSafe(F.col("h.page_id")), F.col("m.digest") == F.col("h.expected")]
-    other = ws.save(placed.alias("m").join(held.alias("h"), reduce(lambda x, y: x & y, same), "left").select(
-        "m.ordinal", F.coalesce("h.found", F.lit("missing")).alias("digest"), "m.offset", "m.length"))
-    bad = mismatches(tree(placed, n, ws), tree(other, n, ws), ws)
-    found = bad.join(other.select("ordinal", F.col("digest").alias("found")), "ordinal")
-    status = F.when(F.col("found").isNull(), "ok").when(F.col("found") == "missing", "missing").otherwise("altered")
-    return placed.join(found, "ordinal", "left").select(
+    met = ws.save(placed.alias("m").join(held.alias("h"), reduce(lambda x, y: x & y, same), "full").select(
+        F.when(F.col("m.ordinal").isNull(), F.col("h.page_id")).otherwise(F.col("m.page_id")).alias("page_id"),
+        F.coalesce("m.digest", "h.expected").alias("digest"), "m.ordinal", "m.offset", F.col("m.length").cast("long").alias("length"),
+        F.coalesce("m.copies", F.lit(0)).cast("long").alias("copies"),
+        F.coalesce("h.held", F.lit(0)).alias("held"), F.coalesce("h.good", F.lit(0)).alias("good"), "h.found_offset", "h.content"))
+    known = met.where("ordinal is not null")
+    if ordered:
+        common = known.where("held > 0").select("ordinal", "found_offset")
+        ranks = places(places(common, "ordinal", "rank_a", ws), "found_offset", "rank_b", ws).drop("found_offset")
+        known = ws.save(known.join(ranks, "ordinal", "left"))
+    else:
+        known = known.withColumn("rank_a", F.lit(None).cast("long")).withColumn("rank_b", F.lit(None).cast("long"))
+    good = F.to_json(F.array(F.struct(F.col("digest").alias("found"), F.col("copies").alias("n"))))
+    leaf = lambda content, rank: known.select(
+        "ordinal", F.sha2(F.concat_ws("@", content, F.col(rank).cast("string")), 256).alias("digest"), "offset", "length")
+    bad = mismatches(tree(leaf(good, "rank_a"), n, ws), tree(leaf(F.coalesce("content", F.lit("missing")), "rank_b"), n, ws), ws)
+    status = (
+        F.when(F.col("ordinal").isNull(), "extra").when(F.col("bad").isNull(), "ok").when(F.col("held") > F.col("good"), "altered")
+        .when(F.col("held") < F.col("copies"), "missing").when(F.col("held") > F.col("copies"), "extra").otherwise("moved"))
+    return met.join(bad.withColumn("bad", F.lit(True)), "ordinal", "left").select(
         "page_id", "ordinal", F.floor(F.col("ordinal") / FILE_RECORDS).cast("long").alias("file_no"), "offset",
-        F.col("length").cast("long").alias("length"), "copies", "digest", status.alias("status"))
+        "length", "copies", "digest", status.alias("status"), "held", "good", "found_offset")
 
 
 def replica_with_faults(pages: DataFrame) -> DataFrame:
@@ -134,7 +174,7 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
     good = pages.select("page_id", F.sha2(record, 256).alias("digest"), F.octet_length(record).cast("long").alias("length"))
-    return audit(good, replica_with_faults(pages))
+    return audit(good, replica_with_faults(pages)).drop("held", "good", "found_offset")
 
 
 def _sql_record(body: str) -> str:

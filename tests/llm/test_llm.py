@@ -456,6 +456,20 @@ def test_audit_finds_every_fault(spark):
     assert warc.audit(good.limit(0), bad.limit(0)).count() == 0
 
 
+def test_audit_compares_copies_extras_and_order(spark):
+    a = [(i, f"d{i:02}", 10) for i in range(40)] + [(3, "d03", 10), (4, "d04", 10), (5, "d05", 10), (None, "dn", 10)]
+    b = [(i, f"d{i:02}", f"d{i:02}", 100 + 10 * i) for i in range(40)] + [(3, "d03", "x", 500), (5, "d05", "d05", 510), (5, "d05", "d05", 520), (None, "dn", "dn", 0)]
+    b += [(77, "d77", "d77", 600), (None, "dz", "dz", 610)]
+    b = [(p, e, d, {20: 315, 30: 395}.get(p, o)) for p, e, d, o in b if p != 9]  # 20 and 21 change places, 30 has a gap before it only
+    good = spark.createDataFrame(a, "page_id long, digest string, length long")
+    got = warc.audit(good, spark.createDataFrame(b, "page_id long, expected string, digest string, offset long")).collect()
+    found = {(r["page_id"], r["digest"]): (r["status"], r["copies"], r["held"], r["good"]) for r in got if r["status"] != "ok"}
+    assert len(got) == 41 + 2 and found == {
+        (3, "d03"): ("altered", 2, 2, 1), (4, "d04"): ("missing", 2, 1, 1), (5, "d05"): ("extra", 2, 3, 3), (9, "d09"): ("missing", 1, 0, 0),
+        (20, "d20"): ("moved", 1, 1, 1), (21, "d21"): ("moved", 1, 1, 1), (77, "d77"): ("extra", 0, 1, 1), (None, "dz"): ("extra", 0, 1, 1)}
+    assert [r["ordinal"] for r in got if r["copies"] == 0] == [None, None]
+
+
 def test_pipeline(spark, small, documents):
     import corpus_pipeline
 
