@@ -128,22 +128,27 @@ def small_batches(spark) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def lean(f: Callable) -> Callable:
-    """A batch function that gives the memory it freed back to the system when its partition ends.
+def give_back() -> None:
+    """Return the memory that allocators kept to the system.
 
     Python workers live on between tasks and operators; what their allocators keep adds up.
     """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f: Callable) -> Callable:
+    """A batch function that gives its memory back when its partition ends."""
 
     @functools.wraps(f)
     def run(batches):
         try:
             yield from f(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            give_back()
 
     return run

@@ -106,6 +106,36 @@ def test_dense_group_is_counted_by_its_ball(spark, monkeypatch):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == brute_links(data)
 
 
+@pytest.mark.parametrize("rounds", [60, 1, 0])
+def test_embeddings_in_double_precision_and_out_of_rounds(spark, monkeypatch, rounds):
+    """Doubles are compared as they are, and nodes left open after the last round are compared whole."""
+    monkeypatch.setattr(embeddings, "LEAF", 16)
+    monkeypatch.setattr(embeddings, "TILE", 8)
+    monkeypatch.setattr(embeddings, "ROUNDS", rounds)
+    monkeypatch.setattr(embeddings, "TREES", 12)
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((40, 12))
+    data = [(i, v.tolist()) for i, v in enumerate([*base, *(base[i % 6] + rng.standard_normal(12) * 0.04 for i in range(80))])]
+    sine = math.sqrt(1 - 0.95**2)
+    data += [(900, [1.0] + [0.0] * 11), (901, [0.95 + 1e-12, sine] + [0.0] * 10), (902, [0.95 - 1e-9, 0.0, sine] + [0.0] * 9)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_embeddings(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    x = np.array([v for _, v in data])
+    s = x @ x.T / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1)[None])
+    assert {i: got[i][0] for i, _ in data} == {i: int(n) - 1 for (i, _), n in zip(data, (s >= 0.95).sum(1), strict=True)}
+    assert got[901] == (1, 900) and got[902] == (0, 902)
+
+
+def test_forest_rows_grow_by_a_bounded_share(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "LEAF", 64)
+    rng = np.random.default_rng(8)
+    ws = Workspace(spark, "test")
+    for n, levels in ((512, 4), (2048, 6)):
+        df = spark.createDataFrame([(i, rng.standard_normal(32).tolist()) for i in range(n)], "id long, v array<double>")
+        made = embeddings.build_forest(df, ws)
+        assert made.select("id").distinct().count() == n
+        assert made.count() <= embeddings.TREES * n * (1 + 1.5 * embeddings.SHARE) ** levels
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
