@@ -17,16 +17,20 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.ranking import bucket_bits, running_total
+from gleaner.llm.ranking import bucket_bits, permuted, running_total
 from gleaner.llm.textkit import lean, small_batches
-from gleaner.llm.workspace import Workspace
+from gleaner.llm.workspace import Workspace, spare
 
-BLOCK, OUTPUT_SHARDS, SEED, ROUNDS, MOST_TIMES = 64, 64, 7, 14, 3
+BLOCK, OUTPUT_SHARDS, SEED, MOST_TIMES, LISTED = 64, 64, 7, 3, 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
+_WORDS = re.compile(WORD)
 
 
 def targets(sizes: list[int], weights: list[int], cap: int = MOST_TIMES) -> list[float]:
@@ -61,27 +65,19 @@ def slot_draws(slots: list[int], n_shards: int, seed: int) -> list[tuple[int, in
     return out
 
 
-def permuted(x: Column, domain: Column, key: Column, rounds: int = ROUNDS) -> Column:
-    """Swap-or-not: a keyed bijection of [0, domain) in plain column arithmetic."""
-
-    def swap(at: Column, r: Column) -> Column:
-        partner = F.pmod(F.xxhash64(key, r) - at, domain)
-        return F.when(F.xxhash64(key, r, F.greatest(at, partner), F.lit("swap")) < 0, partner).otherwise(at)
-
-    # a fold, as nesting the rounds would double the expression with each
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("long"), swap)
-
-
 class Mix:
-    """The plan of a mix: ``rows`` (with source, word interval) and ``uses`` of each block."""
+    """The plan of a mix: ``rows`` (with source, word interval), ``slots`` and the ``uses`` of each block.
 
-    def __init__(self, ws: Workspace, docs: DataFrame, block: int, seed: int, n_shards: int = OUTPUT_SHARDS):
+    ``row`` names a column of ``docs`` that tells its rows apart and is kept as ``_row``.
+    """
+
+    def __init__(self, ws: Workspace, docs: DataFrame, block: int, seed: int, n_shards: int = OUTPUT_SHARDS, row: str | None = None):
         spark = docs.sparkSession
         known = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
+        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
         rows = ws.save(
-            docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-            .select("doc_id", F.xxhash64("text").alias("_text_hash"), known.alias("_source"), "size",
-                    *([] if "_row" not in docs.columns else ["_row"]))
+            docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), known.alias("_source"), size.alias("size"),
+                        *([F.col(row).alias("_row")] if row else []))
             .withColumn("_at", F.monotonically_increasing_id())
         )
         # one row per source goes to the driver: the catalogue of sources, not documents
@@ -110,7 +106,7 @@ class Mix:
         listed = (
             draws.join(per_source, "_sid")
             .withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / piece))))
-            .repartition("_sid", "shard", "p")
+            .repartition(max(1, min(10_000, sum(slots) // LISTED)), "_sid", "shard", "p")  # a stated number is not merged
             .withColumn("j", F.explode(F.sequence(
                 F.col("first") + F.col("p") * piece,
                 F.col("first") + F.least(F.col("n"), (F.col("p") + 1) * piece) - 1)))
@@ -120,7 +116,8 @@ class Mix:
             "_sid", "shard", F.col("j").alias("slot"),
             permuted(F.pmod("j", F.col("_blocks")), F.col("_blocks"), key).alias("block"),
         )
-        self.uses = self.slots.groupBy("_sid", "block").agg(F.count("*").alias("uses"))
+        self.uses = self.slots.groupBy("_sid", "block").agg(
+            F.count("*").alias("uses"), F.min("shard").alias("_low"), F.max("shard").alias("_high"))
         self.size = block
 
     def pieces(self) -> DataFrame:
@@ -135,18 +132,38 @@ class Mix:
 
 
 def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """One row per document: how many of its words the mix takes, repeats counted."""
+    """One row per document: how many of its words the mix takes, repeats counted, and the first and last output shard that has some."""
     mix = Mix(Workspace(docs.sparkSession, "mix"), docs, block, seed)
     # runs of block numbers shuffle to almost nothing, so a size check on shuffled bytes would broadcast them
     taken = (
         mix.pieces().join(mix.uses.hint("merge"), ["_sid", "block"])
-        .groupBy("_at").agg(F.sum((F.col("_to") - F.col("_from")) * F.col("uses")).alias("taken"))
+        .groupBy("_at").agg(
+            F.sum((F.col("_to") - F.col("_from")) * F.col("uses")).alias("taken"),
+            F.min("_low").alias("first_shard"), F.max("_high").alias("last_shard"))
     )
     return mix.rows.join(taken.hint("merge"), "_at", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard"
     )
 
 
+def mixed_blocks(docs: DataFrame, block: int = BLOCK, seed: int = SEED, n_shards: int = OUTPUT_SHARDS) -> DataFrame:
+    """The mix as packed blocks: (shard, source, slot, block, n_words, text), a source's words in order, joined by blanks."""
+    small_batches(docs.sparkSession)
+    ws = Workspace(docs.sparkSession, "blocks")
+    kept = ws.save(docs.select("doc_id", "source", "text").withColumn("_n", F.monotonically_increasing_id()))
+    mix = Mix(ws, kept, block, seed, n_shards, "_n")
+    pieces = mix.pieces().join(mix.rows.select("_at", "_row", "_start"), "_at")
+    # each piece is cut from its text once, however often its block is used
+    spans = pieces.groupBy("_row").agg(F.collect_list(F.struct("_sid", "block", "_start", "_from", "_to")).alias("_cuts"))
+    cut = kept.join(spans, kept["_n"] == spans["_row"]).select("text", "_cuts").mapInArrow(
+        _cut_pieces, "_sid int, block long, first long, words array<string>")
+    packed = cut.groupBy("_sid", "block").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"))  # a block's words
+    words = F.flatten(F.transform("parts", lambda p: p["words"]))
+    names = mix.sources.select("_sid", F.when(F.col("_source") != "1", F.substring("_source", 2, 1 << 30)).alias("source"))
+    return mix.slots.join(packed.withColumn("words", words).hint("merge"), ["_sid", "block"]).join(names, "_sid").select(
+        "shard", "source", "slot", "block", F.size("words").alias("n_words"), F.array_join("words", " ").alias("text"))
+
+
 def mixed_documents(docs: DataFrame, block: int = 256, seed: int = SEED) -> DataFrame:
     """The mix itself as documents: the taken words of each document, once for each pass over its source.
 
@@ -157,49 +174,62 @@ def mixed_documents(docs: DataFrame, block: int = 256, seed: int = SEED) -> Data
     spark = docs.sparkSession
     small_batches(spark)
     ws = Workspace(spark, "mixed")
-    kept = ws.save(docs.withColumn("_row", F.monotonically_increasing_id()))
-    mix = Mix(ws, kept, block, seed)
+    row, left, held, several, wanted = spare(docs, "row", "left", "held", "several", "spans")
+    kept = ws.save(docs.withColumn(row, F.monotonically_increasing_id()))
+    mix = Mix(ws, kept, block, seed, row=row)
     passes = mix.slots.join(mix.sources.select("_sid", "_blocks"), "_sid").select(
         "_sid", "block", F.floor(F.col("slot") / F.col("_blocks")).alias("pass"))
     spans = (
         mix.pieces().join(passes.hint("merge"), ["_sid", "block"])
         .groupBy("_at", "pass").agg(F.sort_array(F.collect_list(F.struct("_from", "_to"))).alias("spans"))
     )
-    rows = mix.rows.select("_at", "_row", F.col("size").alias("_size")).join(spans, "_at").groupBy("_row", "_size").agg(
-        F.collect_list(F.struct(F.col("pass"), F.col("spans"))).alias("_passes"))
-    out = kept.join(rows, "_row").withColumn("_p", F.explode(F.sort_array("_passes")))
-    whole = F.aggregate("_p.spans", F.lit(0).cast("long"), lambda a, s: a + s["_to"] - s["_from"]) == F.col("_size")
-    out = out.withColumn("_spans", F.when(~whole, F.col("_p.spans")))
-    names = docs.columns
-    cut = out.select(*names, "_spans").mapInArrow(_cut_batches, out.select(*names).schema)
-    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else cut
+    rows = mix.rows.select("_at", F.col("_row").alias(row), F.col("size").alias(held)).join(spans, "_at").groupBy(row, held).agg(
+        F.collect_list(F.struct(F.col("pass"), F.col("spans"))).alias(several))
+    out = kept.join(rows, row).withColumn(left, F.explode(F.sort_array(several)))
+    whole = F.aggregate(F.col(left)["spans"], F.lit(0).cast("long"), lambda a, s: a + s["_to"] - s["_from"]) == F.col(held)
+    out = out.select(*docs.columns, F.when(~whole, F.col(left)["spans"]).alias(wanted))
+    cut = out.mapInArrow(_cut_batches(wanted), out.drop(wanted).schema)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
+
+
+def _cut_batches(wanted: str):
+    """``text`` cut to the word spans of the column ``wanted``; null spans leave it whole."""
+
+    @lean
+    def cut(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = []
+            for t, s in zip(batch.column(at), batch.column(batch.schema.get_field_index(wanted)), strict=True):
+                t, s = t.as_py(), s.as_py()
+                if s is not None and t is not None:
+                    edges = [m.span() for m in _WORDS.finditer(t)]
+                    joined: list[list[int]] = []
+                    for x in s:
+                        if joined and joined[-1][1] == x["_from"]:
+                            joined[-1][1] = x["_to"]
+                        else:
+                            joined.append([x["_from"], x["_to"]])
+                    t = "\n".join(t[edges[a][0] : edges[b - 1][1]] for a, b in joined)
+                texts.append(t)
+            keep = [n for n in batch.schema.names if n != wanted]
+            cols = [pa.array(texts, pa.string()) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in keep]
+            yield pa.RecordBatch.from_arrays(cols, names=keep)
+
+    return cut
 
 
 @lean
-def _cut_batches(batches):
-    import re
-
-    import pyarrow as pa
-
-    word = re.compile(WORD)
+def _cut_pieces(batches):
+    """The words of each block's part of a text."""
     for batch in batches:
-        at = batch.schema.get_field_index("text")
-        spans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
-        texts = []
-        for t, s in zip(batch.column(at).to_pylist(), spans, strict=True):
-            if s is not None and t is not None:
-                edges = [m.span() for m in word.finditer(t)]
-                joined: list[list[int]] = []
-                for x in s:
-                    if joined and joined[-1][1] == x["_from"]:
-                        joined[-1][1] = x["_to"]
-                    else:
-                        joined.append([x["_from"], x["_to"]])
-                t = "\n".join(t[edges[a][0] : edges[b - 1][1]] for a, b in joined)
-            texts.append(t)
-        keep = [n for n in batch.schema.names if n != "_spans"]
-        cols = [pa.array(texts, pa.string()) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in keep]
-        yield pa.RecordBatch.from_arrays(cols, names=keep)
+        for t, s in zip(batch.column(0), batch.column(1), strict=True):
+            words, rows = _WORDS.findall(t.as_py() or ""), s.as_py()
+            columns = (
+                pa.array([x["_sid"] for x in rows], pa.int32()), pa.array([x["block"] for x in rows], pa.int64()),
+                pa.array([x["_start"] + x["_from"] for x in rows], pa.int64()),
+                pa.array([words[x["_from"] : x["_to"]] for x in rows], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays(list(columns), names=["_sid", "block", "first", "words"])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.workspace import spare
+
 
 def bucket_bits(n_rows: int, rows_per_bucket: int = 2048) -> int:
     """Bits of bucket number so that a bucket holds about ``rows_per_bucket`` rows."""
@@ -25,14 +27,26 @@ def running_total(
     ``order`` is a long column spread over all 64 bits (a hash); rows order by
     (``order``, ``ties``).  Buckets are the top ``bits`` bits, which respect that order.
     """
-    df = df.withColumn("_value", value.cast("long"))
-    df = df.withColumn("_bucket", F.shiftright(F.col(order), 64 - bits) if bits else F.lit(0).cast("long"))
-    totals = df.groupBy(*groups, "_bucket").agg(F.sum("_value").alias("_total"))
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*groups, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    own, bucket, offset = spare(df, "value", "bucket", "offset")
+    df = df.withColumn(own, value.cast("long"))
+    df = df.withColumn(bucket, F.shiftright(F.col(order), 64 - bits) if bits else F.lit(0).cast("long"))
+    totals = df.groupBy(*groups, bucket).agg(F.sum(own).alias(offset))
+    before = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*groups, bucket, F.coalesce(F.sum(offset).over(before), F.lit(0)).alias(offset))
+    inside = Window.partitionBy(*groups, bucket).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.join(offsets, [*groups, "_bucket"])
-        .withColumn(name, (F.col("_offset") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).cast("long"))
-        .drop("_value", "_bucket", "_offset")
+        df.join(offsets, [*groups, bucket])
+        .withColumn(name, (F.col(offset) + F.coalesce(F.sum(own).over(inside), F.lit(0))).cast("long"))
+        .drop(own, bucket, offset)
     )
+
+
+def permuted(x: Column, domain: Column, key: Column, rounds: int = 14) -> Column:
+    """Swap-or-not: a keyed bijection of [0, domain) in plain column arithmetic."""
+
+    def swap(at: Column, r: Column) -> Column:
+        partner = F.pmod(F.xxhash64(key, r) - at, domain)
+        return F.when(F.xxhash64(key, r, F.greatest(at, partner), F.lit("swap")) < 0, partner).otherwise(at)
+
+    # a fold, as nesting the rounds would double the expression with each
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("long"), swap)
