@@ -3,10 +3,11 @@
 The corpus's frequent words (counted over all documents) are encoded once and
 compiled into a minimal acyclic automaton: words share prefixes and suffixes,
 each arc carries an additive output, and the sum along a word's path is the
-number of its id sequence.  The automaton is three sorted arrays, shipped as one
-block and memory-mapped by each worker; a batch's new words walk it together,
+number of its id sequence.  The automaton is three sorted arrays, broadcast as one
+block; workers map Spark's own copy of the broadcast on their executor, so its
+pages are shared and no file is written.  A batch's new words walk it together,
 one byte position at a time.  Words it lacks are merged exactly by the rank
-table.  Decoding joins the ids' tokens with blanks, as a tokenizer file without a
+table, long ones through a heap.  Decoding joins the ids' tokens with blanks, as a tokenizer file without a
 decoder does.
 
 Cases: null and empty texts have no ids and decode to the empty text; the
@@ -17,9 +18,10 @@ separate rows; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import mmap
 import re
-import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.textkit import lean, small_batches, string_rows
 from gleaner.llm.workspace import Workspace
 
-LEXICON_WORDS, MEMO_WORDS, COUNTED_WORDS = 1 << 18, 300_000, 250_000
-END = "</w>"
+LEXICON_WORDS, MEMO_WORDS, COUNTED_WORDS, LONG_WORD = 1 << 18, 300_000, 250_000, 96
+END, MAGIC = "</w>", b"lexicon\nsuffixes"
 _NO = 1 << 60
 
 
@@ -108,6 +110,8 @@ class Tokenizer:
         raw, rank, made = word.encode("utf-8"), self.rank.get, self.made
         ids = [self.byte[b] for b in raw]
         ids[-1] = self.last[raw[-1]]
+        if len(ids) > LONG_WORD:
+            return self._merge_long(ids)
         ranks = [rank(p, _NO) for p in pairwise(ids)]
         while ranks and (best := min(ranks)) < _NO:
             i = ranks.index(best)  # the leftmost
@@ -120,6 +124,27 @@ class Tokenizer:
         return ids
 
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same merges in n log n: a heap of (rank, place) over a linked list of symbols."""
+        n, rank, made = len(ids), self.rank.get, self.made
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, p in enumerate(pairwise(ids)) if (r := rank(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            best, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j == n or rank((ids[i], ids[j])) != best:
+                continue  # a symbol of this pair was merged since
+            ids[i], ids[j], after[i] = made[best], -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (r := rank((ids[i], ids[after[i]]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (k := before[i]) >= 0 and (r := rank((ids[k], ids[i]))) is not None:
+                heapq.heappush(heap, (r, k))
+        return [x for x in ids if x >= 0]
+
+
 def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
     """A minimal acyclic automaton of the words with additive outputs, as one block of arrays.
 
@@ -171,7 +196,7 @@ def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
     ids = [i for _, seq in words for i in seq]
     bounds = np.concatenate(([0], np.cumsum([len(seq) for _, seq in words]))).astype(np.int32)
     parts = [
-        np.array([root, len(key), len(final), len(bounds), len(ids)], np.int64),
+        np.frombuffer(MAGIC, np.int64), np.array([root, len(key), len(final), len(bounds), len(ids)], np.int64),
         np.array(key, np.int64)[order], np.array(target, np.int32)[order], np.array(output, np.int32)[order],
         np.array(final, np.int32), bounds, np.array(ids, np.int32),
     ]
@@ -179,20 +204,17 @@ def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """The compiled automaton, memory-mapped from an unlinked file of this process."""
+    """The compiled automaton over a block of bytes or a memory map that has it."""
 
-    def __init__(self, block: bytes):
-        file = tempfile.TemporaryFile()
-        file.write(block)
-        file.flush()
-        raw = np.memmap(file, np.uint8, "r").view(np.ndarray)
-        self.root, *sizes = (int(x) for x in raw[:40].view(np.int64))
-        at = 40
+    def __init__(self, block: bytes | mmap.mmap):
+        at = block.find(MAGIC, 0, 256) + len(MAGIC)
 
         def part(n: int, kind) -> np.ndarray:
             nonlocal at
             at += n * np.dtype(kind).itemsize
-            return raw[at - n * np.dtype(kind).itemsize : at].view(kind)
+            return np.frombuffer(block, kind, n, at - n * np.dtype(kind).itemsize)
+
+        self.root, *sizes = part(5, np.int64).tolist()
 
         self.key, self.target, self.output = part(sizes[0], np.int64), part(sizes[0], np.int32), part(sizes[0], np.int32)
         self.final, self.bounds, self.ids = part(sizes[1], np.int32), part(sizes[2], np.int32), part(sizes[3], np.int32)
@@ -226,6 +248,27 @@ class Lexicon:
         return out
 
 
+_opened: dict[str, tuple] = {}  # of this process, by kind: (broadcast, what was made of it)
+
+
+def _once(kind: str, shared, make):
+    """What ``make`` gives for a broadcast, kept for the next task of this worker."""
+    if kind not in _opened or _opened[kind][0] is not shared:
+        _opened[kind] = (shared, make(shared))
+    return _opened[kind][1]
+
+
+def _mapped(shared) -> Lexicon:
+    """The lexicon in the file that Spark keeps for the broadcast on this executor, or in memory where it has none."""
+    path = getattr(shared, "_path", None)
+    if path:
+        with open(path, "rb") as f:
+            block = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        if block.find(MAGIC, 0, 256) >= 0:
+            return Lexicon(block)
+    return Lexicon(shared.value)
+
+
 class Encoder:
     """Encodes and decodes texts, remembering a bounded number of words."""
 
@@ -281,7 +324,7 @@ def count_words(docs: DataFrame, spec) -> DataFrame:
 
     @lean
     def count(batches):
-        tok, seen = Tokenizer(spec.value), Counter()
+        tok, seen = _once("spec", spec, lambda x: Tokenizer(x.value)), Counter()
         flush = lambda: pa.RecordBatch.from_arrays(
             [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
         for batch in batches:
@@ -327,7 +370,7 @@ def encode_documents(docs: DataFrame, spec: str, lexicon_words: int = LEXICON_WO
 
     @lean
     def encode(batches):
-        encoder = Encoder(Tokenizer(shared.value), Lexicon(block.value))
+        encoder = Encoder(_once("spec", shared, lambda x: Tokenizer(x.value)), _once("lexicon", block, _mapped))
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for batch in batches:
             ids_of = batch.column(batch.schema.get_field_index("doc_id"))
