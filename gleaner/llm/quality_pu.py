@@ -11,9 +11,10 @@ linear model over the bins minimises
 with logistic loss, stepping against the second part where it is negative.  The
 class prior is estimated first, cross-fitted: a positive-against-unlabelled model
 of one half ranks the other, and the prior is the ratio of the shares above the
-cut where its upper confidence bound is lowest.  Margins become probabilities by
-isotonic regression on ``CALIBRATE`` labelled rows of fold 1, which the fit does
-not use; fold 0 is never learned from.
+cut where its upper confidence bound is lowest.  The score is the model's posterior,
+its log odds moved by one number so that the threshold stands at the margin that all
+but ``LOST`` of ``CALIBRATE`` trusted positives of fold 1 reach, rows that the fit
+does not use.  No row labelled 0 is used anywhere, and fold 0 is never learned from.
 
 Cases: null and empty texts are scored like any other; repeated rows are
 separate rows; an empty table gives an empty result; without positives every
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.labelled import fold, lowest, quality_labels
 from gleaner.llm.textkit import INK_BYTES, U64, Chunk, chunks, lean, mix, ngrams, small_batches, string_rows
 
-POSITIVES, UNLABELLED, CALIBRATE, BINS, STEPS, RATE, DECAY = 6000, 12000, 3000, 16, 400, 0.05, 3e-4
+POSITIVES, UNLABELLED, CALIBRATE, LOST, BINS, STEPS, RATE, DECAY = 6000, 12000, 3000, 0.002, 16, 400, 0.05, 3e-4
 THRESHOLD = 0.3
 FEATURES = (
     "symbols", "uppercase", "bars", "exclamations", "digits", "punctuation", "newlines", "word_length", "short_words", "distinct_words",
@@ -102,7 +103,7 @@ class Model:
     """Quantile bins and one weight for each bin of each feature."""
 
     def __init__(self, cuts: list[np.ndarray]):
-        self.cuts, self.w, self.knots = cuts, np.zeros(len(cuts) * BINS + 1), None
+        self.cuts, self.w, self.shift = cuts, np.zeros(len(cuts) * BINS + 1), 0.0
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, j], side="right") + j * BINS for j, c in enumerate(self.cuts)], 1)
@@ -111,11 +112,12 @@ class Model:
         return self.w[bins].sum(1) + self.w[-1]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        m = self.margin(self.bins(x))
-        if self.knots is None:
-            return _sigmoid(m)
-        # the margin itself breaks ties within a step
-        return 0.998 * np.interp(m, *self.knots) + 0.002 * _sigmoid(m / 4)
+        return _sigmoid(self.margin(self.bins(x)) + self.shift)
+
+    def set_threshold(self, pos: np.ndarray) -> None:
+        """All but ``LOST`` of these positives score the threshold or more."""
+        cut = np.quantile(self.margin(self.bins(pos)), LOST, method="lower")
+        self.shift = float(math.log(THRESHOLD / (1 - THRESHOLD)) - cut + 1e-9)
 
     def fit(self, pos: np.ndarray, unl: np.ndarray, prior: float | None) -> Model:
         """With a prior: the non-negative risk.  Without: positives against unlabelled."""
@@ -156,24 +158,6 @@ def class_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> float:
     return float(np.clip(u[best] / p[best], 0.01, 0.99))
 
 
-def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic regression of labels on margins (pool adjacent violators), as knots to interpolate between.
-
-    A weak prior of one positive and one negative row at the overall rate keeps knots off 0 and 1.
-    """
-    if not len(x):
-        return np.array([0.0]), np.array([0.5])
-    blocks: list[list[float]] = []  # sum of labels, rows, lowest and highest margin
-    for i in np.argsort(x, kind="stable"):
-        blocks.append([float(y[i]), 1.0, float(x[i]), float(x[i])])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            n, rows, _, high = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + n, blocks[-1][1] + rows, blocks[-1][2], high]
-    rate = float(np.mean(y))
-    level = [(b[0] + rate) / (b[1] + 1) for b in blocks]
-    return np.array([e for b in blocks for e in b[2:]]), np.maximum.accumulate(np.repeat(level, 2))
-
-
 def estimate_prior(model: Model, pos: np.ndarray, unl: np.ndarray) -> float:
     """Cross-fitted: each half of the samples is ranked by a model of the other half."""
     parts = []
@@ -188,13 +172,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     known = quality_labels(labels)
     trusted = lowest(known.where("fold > 1 and quality = 1").select("doc_id"), POSITIVES, 11).withColumn("role", F.lit("p"))
     web = lowest(docs.where("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id")), UNLABELLED, 12)
-    marked = lowest(known.where("fold = 1"), CALIBRATE, 13).select("doc_id", F.concat(F.lit("c"), "quality").alias("role"))
-    wanted = trusted.unionByName(web.withColumn("role", F.lit("u"))).unionByName(marked)
+    held = lowest(known.where("fold = 1 and quality = 1").select("doc_id"), CALIBRATE, 13).withColumn("role", F.lit("c"))
+    wanted = trusted.unionByName(web.withColumn("role", F.lit("u"))).unionByName(held)
     # at most POSITIVES + UNLABELLED + CALIBRATE ids: small enough to broadcast
     ids = wanted.groupBy("doc_id").agg(F.collect_set("role").alias("roles"))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    found = texts.mapInArrow(_measure_batches, "doc_id long, x array<double>").join(F.broadcast(ids), "doc_id").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["x"]))
+    # one text for each id, however often it is repeated
+    once = texts.mapInArrow(_measure_batches, "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x"))
+    found = once.join(F.broadcast(ids), "doc_id").collect()
+    found.sort(key=lambda r: r["doc_id"])
     pos = np.array([r["x"] for r in found if "p" in r["roles"]])
     unl = np.array([r["x"] for r in found if "u" in r["roles"]])
     if not len(pos) or not len(unl):
@@ -203,9 +189,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     model = Model(cuts)
     prior = estimate_prior(model, pos, unl)
     model.fit(pos, unl, prior)
-    seen = [(r["x"], "c1" in r["roles"]) for r in found if {"c0", "c1"} & set(r["roles"])]
-    if seen:
-        model.knots = monotone(model.margin(model.bins(np.array([x for x, _ in seen]))), np.array([float(y) for _, y in seen]))
+    calm = np.array([r["x"] for r in found if "c" in r["roles"]])
+    if len(calm):
+        model.set_threshold(calm)
     return model
 
 
