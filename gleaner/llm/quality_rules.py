@@ -69,13 +69,16 @@ def counts(chunk: Chunk) -> dict[str, np.ndarray]:
 
 def features(chunk: Chunk, words: np.ndarray, doc: np.ndarray):
     """For each kind of n-gram: its buckets, and each document's first and last one."""
-    b = chunk.buf.astype(np.uint32)
-    gram = b.copy()
+    text = chunk.buf.tobytes().decode("utf-8", "surrogatepass")
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+    before = np.concatenate(([0], np.cumsum((chunk.buf & 0xC0) != 0x80)))  # characters before each byte
+    first, stop = before[chunk.starts], before[chunk.stops]
+    gram = points
     for n in (2, 3, 4):
-        gram = (gram[:-1] << np.uint32(8)) | b[n - 1 :]
-        bucket = (gram * np.uint32(0x9E3779B1 + 2 * n)) >> np.uint32(32 - BITS)
-        last = np.maximum(chunk.stops - n, chunk.starts)  # within the text and its closing newline
-        yield bucket, chunk.starts, np.minimum(last + (chunk.stops - chunk.starts >= n), len(bucket))
+        gram = gram[:-1] * U64(0x9E3779B97F4A7C15) + points[n - 1 :]
+        bucket = ((gram * U64(0xD6E8FEB86659FD93)) >> U64(64 - BITS)).astype(np.int64)
+        last = np.maximum(stop - n, first)  # within the text and its closing newline
+        yield bucket, first, np.minimum(last + (stop - first >= n), len(bucket))
     edges = np.searchsorted(doc, np.arange(chunk.n + 1))
     yield (words >> U64(64 - BITS)).astype(np.int64), edges[:-1], edges[1:]
     pairs, at = ngrams(words, doc, 2)
@@ -180,8 +183,10 @@ def train(docs: DataFrame, labels: DataFrame):
         .unionByName(lowest(known.where("fold = 1"), CALIBRATE, 2))
     )  # at most 2 * PER_CLASS + CALIBRATE rows: small enough to broadcast
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")
-    rows = texts.mapInArrow(_featurise, "doc_id long, quality int, fold int, at binary, val binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["at"]))
+    made = texts.mapInArrow(_featurise, "doc_id long, quality int, fold int, at binary, val binary")
+    # one text for each id, however often it is repeated
+    rows = made.groupBy("doc_id", "quality", "fold").agg(F.min(F.struct("at", "val")).alias("x")).select("doc_id", "quality", "fold", "x.*").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     fitted = [r for r in rows if r["fold"] > 1]
     if len({r["quality"] for r in fitted}) < 2:
         return None
