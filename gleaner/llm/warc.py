@@ -38,25 +38,28 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
 def lay_out(records: DataFrame, ws: Workspace) -> tuple[DataFrame, int]:
     """Give records (page_id, digest, length) an ordinal and a byte offset; returns them and their number.
 
-    Buckets of consecutive page ids are summed first, so no task orders more
-    than a bucket; records of one page id are split further by their digest.
+    Ranges of (page_id, digest), cut at sampled bounds, are sorted and numbered each in
+    its own task, so a page id with many records spreads over several; their totals give
+    each range its first ordinal and offset.
     """
-    rows = ws.save(records.groupBy("page_id", "digest", "length").agg(F.count("*").alias("copies")))
-    n, low, high = rows.agg(F.count("*"), F.min("page_id"), F.max("page_id")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * 4096 // max(n, 1))
-    page = F.coalesce(F.floor((F.col("page_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1))
-    rows = rows.withColumn("_a", page).withColumn("_b", F.when(F.lit(width) == 1, F.substring("digest", 1, 2)).otherwise(F.lit("")))
-    totals = rows.groupBy("_a", "_b").agg(F.sum("length").alias("_len"), F.count("*").alias("_n"))
-    before = Window.orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)  # bucket totals only
-    offsets = totals.select(
-        "_a", "_b", F.coalesce(F.sum("_len").over(before), F.lit(0)).alias("_o"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_k"))
-    inside = Window.partitionBy("_a", "_b").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(offsets, ["_a", "_b"]).select(
-        "page_id", "digest", "length", "copies",
-        (F.col("_k") + F.count("*").over(inside)).cast("long").alias("ordinal"),
-        (F.col("_o") + F.coalesce(F.sum("length").over(inside), F.lit(0))).cast("long").alias("offset"),
-    )
-    return placed, n
+    rows = records.groupBy("page_id", "digest", "length").agg(F.count("*").alias("copies"))
+    return numbered(rows, ["page_id", "digest", "length"], "ordinal", ws, "length")
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str, ws: Workspace, size: str | None = None) -> tuple[DataFrame, int]:
+    """``rows`` with ``name``, their rank from 0 by ``keys``, and with a ``size`` column the ``offset`` of each; and their number."""
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = ws.save(rows.withColumn("_r", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    amount = F.col(size) if size else F.lit(0)
+    totals = rows.groupBy("_r").agg(F.count("*").alias("_n"), F.sum(amount).alias("_len"))
+    n = totals.agg(F.sum("_n")).first()[0] or 0
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = totals.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_k"), F.coalesce(F.sum("_len").over(before), F.lit(0)).alias("_o"))
+    placed = rows.join(starts, "_r").withColumn(name, (F.col("_k") + F.col("_i")).cast("long"))
+    if size:
+        inside = Window.partitionBy("_r").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.withColumn("offset", (F.col("_o") + F.coalesce(F.sum(size).over(inside), F.lit(0))).cast("long"))
+    return placed.drop("_r", "_i", "_k", "_o"), n
 
 
 def tree(leaves: DataFrame, n: int, ws: Workspace, fanout: int = FANOUT) -> list[DataFrame]:
@@ -91,17 +94,6 @@ def mismatches(a: list[DataFrame], b: list[DataFrame], ws: Workspace, fanout: in
     return bad.select(F.col("node").alias("ordinal"))
 
 
-def places(records: DataFrame, key: str, name: str, ws: Workspace) -> DataFrame:
-    """``records`` with ``name``: their rank from 0 by (``key``, ordinal), counted in buckets of ``key``."""
-    n, low, high = records.agg(F.count("*"), F.min(key), F.max(key)).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * 4096 // max(n, 1))
-    rows = records.withColumn("_a", F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)))
-    before = Window.orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)  # bucket totals only
-    totals = rows.groupBy("_a").agg(F.count("*").alias("_n")).select("_a", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_k"))
-    inside = F.row_number().over(Window.partitionBy("_a").orderBy(key, "ordinal"))
-    return ws.save(rows.join(totals, "_a").withColumn(name, F.col("_k") + inside - 1).drop("_a", "_k"))
-
-
 def audit(replica_a: DataFrame, replica_b: DataFrame) -> DataFrame:
     """Compare two replicas of (page_id, digest, length); ``replica_b`` also names the ``expected`` digest it stores.
 
@@ -135,7 +127,9 @@ def audit(replica_a: DataFrame, replica_b: DataFrame) -> DataFrame:
     known = met.where("ordinal is not null")
     if ordered:
         common = known.where("held > 0").select("ordinal", "found_offset")
-        ranks = places(places(common, "ordinal", "rank_a", ws), "found_offset", "rank_b", ws).drop("found_offset")
+        ranks, _ = numbered(common, ["ordinal"], "rank_a", ws)
+        ranks, _ = numbered(ranks, ["found_offset", "ordinal"], "rank_b", ws)
+        ranks = ranks.drop("found_offset")
         known = ws.save(known.join(ranks, "ordinal", "left"))
     else:
         known = known.withColumn("rank_a", F.lit(None).cast("long")).withColumn("rank_b", F.lit(None).cast("long"))
