@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.linking import WORDS, classes, short_shingle
 from gleaner.llm.textkit import U64, Chunk, chunks, lean, mix, ngrams, small_batches, string_rows
-from gleaner.llm.workspace import Workspace
+from gleaner.llm.workspace import Workspace, spare
 
 REGISTERS, BANDS, ROWS, SEEN = 64, 16, 4, 500_000
 
@@ -143,14 +143,15 @@ def label_documents(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class, the one of least doc_id (and least text hash)."""
     ws = Workspace(docs.sparkSession, "deduplicated")
-    rows = ws.save(docs.withColumn("_row", F.monotonically_increasing_id()))
+    (row,) = spare(docs, "row")
+    rows = ws.save(docs.withColumn(row, F.monotonically_increasing_id()))
     found = near_classes(rows, ws)
-    member = rows.select("_row", "doc_id", text_id().alias("id")).join(found, "id", "left")
-    member = ws.save(member.select("_row", "doc_id", "id", F.coalesce("component", "id").alias("component")))
-    several = ws.save(member.groupBy("component").agg(F.min(F.struct("doc_id", "id", "_row")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    member = rows.select(F.col(row).alias("row"), "doc_id", text_id().alias("id")).join(found, "id", "left")
+    member = ws.save(member.select("row", "doc_id", "id", F.coalesce("component", "id").alias("component")))
+    several = ws.save(member.groupBy("component").agg(F.min(F.struct("doc_id", "id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1"))
     # those that go are fewer than those that stay
-    gone = ws.save(member.join(several, "component").where(F.col("_row") != F.col("first._row")).select("_row"))
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+    gone = ws.save(member.join(several, "component").where(F.col("row") != F.col("first.row")).select(F.col("row").alias(row)))
+    return rows.join(gone, row, "left_anti").drop(row)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
