@@ -15,6 +15,9 @@ the columns of ``documents``:
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.bpe import encode_documents, word_vocabulary
@@ -22,30 +25,43 @@ from gleaner.llm.line_dedup import without_repeated_lines
 from gleaner.llm.mixing import mixed_documents
 from gleaner.llm.near_dedup import deduplicated
 from gleaner.llm.quality_pu import classify
-from gleaner.llm.workspace import Workspace, release
+from gleaner.llm.workspace import Workspace, owned, release
+
+
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage before is written, so its scratch tables go; tables made by anyone else stay."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "pipeline stage")
+        with owned("pipeline stage"):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_rows=True)
 
 
+@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)  # here and below: the stage before is written, so its scratch tables can go
     return without_repeated_lines(docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
     return deduplicated(docs)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
     return mixed_documents(docs)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
     return encode_documents(docs, word_vocabulary())
 
 
@@ -62,8 +78,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written and read again."""
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, apply) in enumerate(STAGES, 1):
+        docs = apply(spark, docs, sf_dir)
         if k < len(STAGES):
             docs = ws.save(docs)
     return docs
