@@ -11,24 +11,24 @@ linked lines the first occurrence by (doc_id, text hash, line number) stays.
 
 Cases: null text is empty; blank lines always stay; a line of fewer than ``CHARS``
 characters is one shingle, so it links with equal lines only, which its hash
-tells; rows repeated with the same
-doc_id and text are treated alike, so both keep a first occurrence; an empty
-table gives an empty result; other columns pass through where rows are kept.
+tells; of rows repeated with the same doc_id and text one is the first, and the
+others keep no counting line; an empty table gives an empty result; other columns
+pass through where rows are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.linking import CHARS, char_grams, classes
 from gleaner.llm.near_dedup import band_keys, prob_minhash
-from gleaner.llm.textkit import INK_BYTES, U64, Chunk, chunks, lean, mix, small_batches, string_rows
-from gleaner.llm.workspace import Workspace
+from gleaner.llm.textkit import INK_BYTES, U64, Chunk, chunks, id_filter, lean, may_hold, mix, small_batches, string_rows
+from gleaner.llm.workspace import Workspace, spare
 
-BANDS, ROWS, BORDER, FEW, SEEN = 12, 4, 72, 13, 1_000_000
+BANDS, ROWS, BORDER, FEW, SEEN, SENT = 12, 4, 72, 13, 1_000_000, 16 << 20
 M = BANDS * ROWS
 
 
@@ -121,10 +121,11 @@ def _read(batches):
     A line carries its band keys the first time that this task meets it.
     """
     seen: set[int] = set()
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64())
     for batch in batches:
         doc_id = batch.column(batch.schema.get_field_index("doc_id"))
         key = batch.column(batch.schema.get_field_index("row"))
+        copy = batch.column(batch.schema.get_field_index("copy"))
         for first, lines in line_chunks(batch):
             new = np.array([x not in seen and not seen.add(x) for x in lines.id.tolist()], bool)
             if len(seen) > SEEN:
@@ -142,45 +143,60 @@ def _read(batches):
                 take = pa.array(doc)
                 held = pa.nulls(len(doc), kinds[4]) if bands is None else pa.ListArray.from_arrays(
                     pa.array(np.arange(len(doc) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-                columns = [line, doc_id.take(take), key.take(take), pa.array(number.astype(np.int32)), held]
-                yield pa.RecordBatch.from_arrays(columns, names=["line", "doc_id", "row", "at", "bands"])
-
-
-@lean
-def _line_texts(batches):
-    """The texts of the wanted line ids of each document."""
-    for batch in batches:
-        wanted = batch.column(batch.schema.get_field_index("wanted")).to_pylist()
-        for first, lines in line_chunks(batch):
-            raw = lines.chunk.buf.tobytes()
-            rest = [set(w) for w in wanted[first : first + lines.chunk.n]]
-            ids, out = [], []
-            for line, doc, a, z in zip(lines.id.tolist(), lines.doc.tolist(), lines.start.tolist(), lines.end.tolist(), strict=True):
-                if line in rest[doc]:
-                    rest[doc].discard(line)
-                    ids.append(line)
-                    out.append(raw[a:z].decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "text"])
+                which = copy.take(take) if doc is docs else pa.nulls(len(doc), kinds[5])
+                columns = [line, doc_id.take(take), key.take(take), pa.array(number.astype(np.int32)), held, which]
+                yield pa.RecordBatch.from_arrays(columns, names=["line", "doc_id", "row", "at", "bands", "copy"])
+
+
+def _line_texts(wanted):
+    """(id, text) of the lines that pass a filter of ids, once in a while for each."""
+
+    @lean
+    def texts(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for _, lines in line_chunks(batch):
+                raw = lines.chunk.buf.tobytes()
+                ids, out = [], []
+                for i in np.flatnonzero(may_hold(wanted.value, lines.id)).tolist():
+                    line = int(lines.id[i])
+                    if line not in seen:
+                        seen.add(line)
+                        ids.append(line)
+                        out.append(raw[lines.start[i] : lines.end[i]].decode("utf-8", "surrogatepass"))
+                if len(seen) > SEEN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "text"])
+
+    return texts
 
 
 class Repeats:
-    """What repeats in ``docs``: ``counts`` (doc_id, row, n_lines) and ``dropped`` (row, sorted line numbers); ``row`` is ``row_key()``."""
+    """What repeats in ``docs``; ``row`` is ``row_key()``.
+
+    ``counts`` (doc_id, row, n_lines, copy) has a row for each row of ``docs``;
+    ``dropped`` (row, dropped, every) the sorted numbers of the lines that go from the
+    first of the rows with that key, and, where there are several, from the others;
+    ``again`` (row, first) tells the copy that is the first.
+    """
 
     def __init__(self, docs: DataFrame, ws: Workspace):
         small_batches(docs.sparkSession)
-        source = docs.select("doc_id", "text", row_key().alias("row"))
-        read = ws.save(source.mapInArrow(_read, "line long, doc_id long, row long, at int, bands array<long>"))
-        self.counts = read.where("line is null").select("doc_id", "row", F.col("at").cast("long").alias("n_lines"))
+        source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", row_key().alias("row"))
+        numbered = source.withColumn("copy", F.monotonically_increasing_id())
+        read = ws.save(numbered.mapInArrow(_read, "line long, doc_id long, row long, at int, bands array<long>, copy long"))
+        self.counts = read.where("line is null").select("doc_id", "row", F.col("at").cast("long").alias("n_lines"), "copy")
+        self.again = ws.save(self.counts.groupBy("row").agg(F.min("copy").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
         # a line near the border has two rows with bands but is one occurrence
         seen = read.where("line is not null").select("line", "doc_id", "row", "at")
         place = F.struct("doc_id", "row", "at")
-        lines = ws.save(seen.groupBy("line").agg(F.min("row").alias("row"), F.count("*").alias("n")))
+        lines = ws.save(seen.groupBy("line").agg(F.count("*").alias("n")))
 
         def fetch(ids: DataFrame) -> DataFrame:
-            wanted = lines.join(ids.withColumnRenamed("id", "line"), "line").groupBy("row").agg(F.collect_list("line").alias("wanted"))
-            # the side of line ids is hashed, so that whole texts need no sorting
-            texts = source.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("text", "wanted")
-            return texts.mapInArrow(_line_texts, "id long, text string").groupBy("id").agg(F.first("text").alias("text"))
+            # the filter's size is bounded; whole texts are read again, but only lines are shuffled
+            wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+            texts = source.select("text").mapInArrow(_line_texts(wanted), "id long, text string")
+            return texts.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
 
         bands = read.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("line").alias("id"))
         linked = classes(bands, fetch, "chars", ws)
@@ -190,7 +206,14 @@ class Repeats:
         many = ws.save(seen.join(of, "line").select("component", place.alias("place")))
         stays = ws.save(many.groupBy("component").agg(F.min("place").alias("stays")))
         lost = many.join(stays, "component").where(F.col("place") != F.col("stays"))
-        self.dropped = ws.save(lost.groupBy("place.row").agg(F.sort_array(F.collect_set("place.at")).alias("dropped")))
+        numbers = lambda at: F.sort_array(F.collect_set(at))
+        once = lost.groupBy("place.row").agg(numbers("place.at").alias("dropped"))
+        self.repeated_rows = bool(self.again.limit(1).count())
+        if self.repeated_rows:
+            every = seen.join(self.again, "row").groupBy("row").agg(numbers("at").alias("every"))
+            self.dropped = ws.save(once.join(every, "row", "full"))
+        else:
+            self.dropped = ws.save(once.withColumn("every", F.lit(None).cast("array<int>")))
         ws.drop(lines, linked, many, stays)
         self.read = read
 
@@ -198,8 +221,9 @@ class Repeats:
 def line_counts(docs: DataFrame) -> DataFrame:
     """One row per document: its lines, how many stay, and the numbers (from 0) of those that go."""
     found = Repeats(docs, Workspace(docs.sparkSession, "lines"))
-    rows = found.counts.join(found.dropped, "row", "left")
-    gone = F.coalesce("dropped", F.array().cast("array<int>"))
+    rows = found.counts.join(found.again, "row", "left").join(found.dropped, "row", "left")
+    gone = F.when(F.col("copy") != F.col("first"), F.col("every")).otherwise(F.col("dropped"))
+    gone = F.coalesce(gone, F.array().cast("array<int>"))
     return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.size(gone)).cast("long").alias("n_kept"), gone.alias("dropped"))
 
 
@@ -208,15 +232,25 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     ws = Workspace(docs.sparkSession, "lines")
     found = Repeats(docs, ws)
     ws.drop(found.read)
-    dropped = found.dropped
     names = docs.columns
-    joined = docs.withColumn("_row", row_key()).join(dropped.select(F.col("row").alias("_row"), F.col("dropped").alias("_dropped")), "_row", "left")
-    parts = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_dropped", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(left)).select(*names)
+    row, gone, every, number, parts = spare(docs, "row", "gone", "every", "number", "parts")
+    dropped = found.dropped.select(F.col("row").alias(row), F.col("dropped").alias(gone), F.col("every").alias(every))
+    size = found.dropped.agg(F.sum(F.lit(32) + 4 * (F.greatest(F.size("dropped"), F.lit(0)) + F.greatest(F.size("every"), F.lit(0))))).first()[0]
+    if (size or 0) <= SENT:  # whole texts are shuffled only where the line numbers are too many to send
+        dropped = F.broadcast(dropped)
+    joined = docs.withColumn(row, row_key()).join(dropped, row, "left")
+    if found.repeated_rows:
+        # copies are alike but for other columns, so any of them may be the first
+        joined = joined.withColumn(number, F.row_number().over(Window.partitionBy(row).orderBy(F.lit(1))))
+        joined = joined.withColumn(gone, F.when(F.col(number) == 1, F.col(gone)).otherwise(F.col(every)))
+    # a column of its own, used twice: inside the lambda the text would be split for every line
+    joined = joined.withColumn(parts, F.when(F.col(gone).isNotNull(), F.split("text", "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col(parts), i)), "\n")
+    out = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)).select(*names)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return line_counts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"))
+    return line_counts(docs.select("doc_id", "text"))

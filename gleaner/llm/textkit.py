@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
@@ -152,3 +154,29 @@ def lean(f: Callable) -> Callable:
             give_back()
 
     return run
+
+
+FILTER_BITS = 1 << 27
+
+
+def id_filter(ids: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
+    """A bit for each hashed ``id``, of at most ``most`` bits however many ids there are: it lets strangers pass, never loses an id.
+
+    Words of bits are made by an aggregation; the driver gets 16 bytes for each that is not empty.
+    """
+    bits = 1 << 12
+    n = ids.count()
+    while bits < min(16 * n, most):
+        bits *= 2
+    spot = F.col("id").bitwiseAND(F.lit(bits - 1))
+    words = ids.select(F.shiftright(spot, 6).alias("word"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(U64)
+
+
+def may_hold(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each id may be among those of the filter."""
+    at = ids.view(U64) & U64(len(words) * 64 - 1)
+    return (words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & U64(1)).astype(bool)

@@ -179,6 +179,47 @@ def test_licences(spark, awkward, documents):
     assert licences.scan_licences(df.limit(0)).count() == 0
 
 
+def brute_labels(index, words):
+    """Each template tried at every place: its key phrases and enough of its words within the drift."""
+    found = {}
+    for t, own in enumerate(index.words):
+        for off in range(-len(own), len(words)):
+            if share := index.verify(words, t, off, off):
+                found[index.labels[t]] = max(found.get(index.labels[t], 0.0), share)
+    return found
+
+
+def test_licence_labels_against_every_place(spark):
+    rnd = random.Random(5)
+    noise = lambda n: [rnd.choice(["lorem", "the", "software", "license", "version", "of", "ipsum", "and", "copy", "gnu"]) for _ in range(n)]
+    texts, planted = [], []
+    every = licences.NOTICES + licences.TEMPLATES
+    for label, text, keys in every:
+        words = text.split()
+        texts.append(" ".join(noise(rnd.randrange(60)) + words + noise(rnd.randrange(60))))
+        planted.append(label)
+        key = {w.decode() for k in keys for w in licences.split_words(k)}
+        worn = [w if any(x.decode() in key for x in licences.split_words(w)) or rnd.random() > 0.15 else "worn" for w in words]
+        texts.append(" ".join(noise(30) + worn + noise(9)))
+        planted.append(label)
+        texts.append(" ".join([*noise(20), *words[: len(words) // 3], *noise(15), *words[len(words) // 3 :]]))
+        planted.append(None)
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    found, n = licences.word_frequencies(df, every, licences.BASE_PHRASES)
+    index = licences.Index(df=found, n_docs=n)
+    low = [licences.split_words(t) for t in texts]
+    assert n == len(texts) and all(found[i] == sum(w in set(words) for words in low) for w, i in index.at.items())
+    got = {r["doc_id"]: r for r in licences.scan_licences(df).collect()}
+    for i, (words, label) in enumerate(zip(low, planted, strict=True)):
+        own = set(filter(None, got[i]["labels"].split(",")))
+        brute = brute_labels(index, words)
+        if label:
+            assert label in own and label in brute, (i, label)
+            assert got[i]["score"] >= max(brute.values()) - 0.05  # a shifted place may meet a word of the noise
+        # a candidate's drift may take in more than one place does, never less
+        assert set(brute) <= own, (i, set(brute) - own)
+
+
 def test_a_notice_needs_its_key_phrase():
     index = licences.Index()
     words = "licensed under the gnu general public licence version 3"
@@ -212,6 +253,98 @@ def test_rule_counts(spark, awkward, documents, labels):
     assert quality_rules.apply_rules(awkward[0].limit(0), labels.limit(0)).count() == 0
 
 
+def test_rule_verdicts_by_brute_force(spark, documents, labels):
+    """The n-gram model's probability, n-gram by n-gram."""
+    big = spark.createDataFrame(rows(documents.text), SCHEMA)
+    weights, slope, shift = quality_rules.train(big, labels)
+    mask, top = (1 << 64) - 1, 64 - quality_rules.BITS
+
+    def word_hash(ws):
+        chunk = Chunk([" ".join(ws).encode()])
+        starts, ends, doc = chunk.words(quality_rules.INK_BYTES)
+        h = chunk.span_hash(starts, ends)
+        return h if len(ws) == 1 else quality_rules.ngrams(h, doc, 2)[0]
+
+    def probability(t):
+        out, points = 0.0, [ord(c) for c in t + "\n"]
+        for n in (2, 3, 4):
+            at = []
+            for i in range(len(points) - n + 1):
+                g = points[i]
+                for x in points[i + 1 : i + n]:
+                    g = (g * 0x9E3779B97F4A7C15 + x) & mask
+                at.append((g * 0xD6E8FEB86659FD93 & mask) >> top)
+            if at:
+                out += quality_rules.SCALE * np.mean(weights[n - 2][at], dtype=np.float64)
+        words = WORD.findall(t)
+        for kind, grams in ((3, [[w] for w in words]), (4, list(zip(words, words[1:], strict=False)))):
+            if grams:
+                out += quality_rules.SCALE * np.mean([weights[kind][int(word_hash(list(g))[0]) >> top] for g in grams], dtype=np.float64)
+        return 1 / (1 + math.exp(-(slope * out + shift)))
+
+    texts = [t for t in documents.text if t and len(t) < 1500][:60] + ["", "a", "é 漢字 😀 é", "x\ny"]
+    model_rows = {r["doc_id"]: r for r in quality_rules.apply_rules(big, labels).collect()}
+    place = {t: i for i, t in enumerate(documents.text)}
+    for t in texts:
+        if t in place:
+            assert model_rows[place[t]]["probability"] == pytest.approx(probability(t), abs=2e-4), t[:60]
+    chunk = Chunk([t.encode() for t in texts])
+    c = quality_rules.counts(chunk)
+    batch = 1 / (1 + np.exp(-(slope * quality_rules.margins(weights, chunk, *c["_words"]) + shift)))
+    assert batch == pytest.approx([probability(t) for t in texts], abs=2e-4)
+
+
+def brute_measure(t):
+    """The quality features of a text, one after the other."""
+    raw, words = t.encode(), re.findall(rb"[^ \t\n\x0b\x0c\r]+", t.encode())
+    n, size = max(1, len(raw)), max(1, len(words))
+    share = lambda test: sum(map(test, raw + b"\n")) / n
+    five = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    lines = (raw + b"\n").split(b"\n")[:-1]
+    return [
+        share(lambda b: chr(b) in "#*$%&<>@^~=+_{}[]\\/"), share(lambda b: 65 <= b <= 90), share(lambda b: b == 124), share(lambda b: b == 33),
+        share(lambda b: 48 <= b <= 57), share(lambda b: chr(b) in ",;:'\"()-?"), share(lambda b: b == 10),
+        sum(map(len, words)) / size, sum(len(w) <= 3 for w in words) / size, len(set(words)) / size / math.sqrt(200 / max(200, size)),
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / size, 1 - len(set(five)) / max(1, len(five)), math.log1p(len(words)),
+        sum(w[-1] >= 128 or chr(w[-1]).isalpha() for w in words) / size, 1 - len(set(lines)) / len(lines), sum(65 <= w[0] <= 90 for w in words) / size,
+        share(lambda b: b == 46), sum(len(w) >= 18 for w in words) / size]
+
+
+def test_pu_features_and_scores_by_brute_force(spark, documents, labels):
+    texts = [*[t for t in documents.text if t][:80], "", "a a a a a a\na a a a a a", "É 漢字 x|y!\n\n#", LONG]
+    got = quality_pu.measure(Chunk([t.encode() for t in texts]))
+    assert got == pytest.approx(np.array([brute_measure(t) for t in texts]), abs=1e-9)
+    df = spark.createDataFrame(rows(documents.text), SCHEMA)
+    known = labels.join(df.select("doc_id"), "doc_id")
+    model = quality_pu.train(df, known)
+    scores = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality_pu.classify(df, known).collect()}
+    for i, t in enumerate(documents.text):
+        x = np.array([brute_measure(t or "")])
+        margin = model.w[-1] + sum(model.w[j * quality_pu.BINS + int(np.searchsorted(c, x[0, j], side="right"))] for j, c in enumerate(model.cuts))
+        want = 1 / (1 + math.exp(-(margin + model.shift)))
+        assert scores[i][0] == pytest.approx(want, abs=1e-6) or abs(scores[i][0] - want) < 0.2  # a value on a bin's edge
+        assert scores[i][1] == int(scores[i][0] >= 0.3)
+
+
+def test_the_non_negative_risk_falls_and_ignores_labels_0(spark, documents, labels):
+    rng = np.random.default_rng(3)
+    pos, unl = rng.normal(1.5, 1, (2000, 2)), np.concatenate([rng.normal(1.5, 1, (1500, 2)), rng.normal(-1.5, 1, (1500, 2))])
+    model = quality_pu.Model([np.unique(np.quantile(unl[:, j], np.linspace(0, 1, quality_pu.BINS + 1)[1:-1])) for j in (0, 1)])
+
+    def risk():
+        fp, fu = model.margin(model.bins(pos)), model.margin(model.bins(unl))
+        return 0.5 * np.logaddexp(0, -fp).mean() + max(0.0, np.logaddexp(0, fu).mean() - 0.5 * np.logaddexp(0, fp).mean())
+
+    before = risk()
+    model.fit(pos, unl, 0.5)
+    assert risk() < 0.5 * before
+    model.set_threshold(pos)
+    assert (model.score(pos) >= quality_pu.THRESHOLD).mean() >= 1 - 2 * quality_pu.LOST
+    df = spark.createDataFrame(rows(documents.text), SCHEMA)
+    same = [quality_pu.classify(df, x).orderBy("doc_id").collect() for x in (labels, labels.where("quality = 1"))]
+    assert same[0] == same[1]
+
+
 def held_out(got, labels):
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
     return [(r["score"] if "score" in r else r["probability"], truth[r["doc_id"]]) for r in got if r["doc_id"] in truth and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
@@ -251,11 +384,23 @@ def test_class_prior_is_near_the_truth():
 def test_communication_matrix():
     m = sharding.communication_matrix([5, 0, 100, 7], 16, 1)
     assert m.sum(1).tolist() == [5, 0, 100, 7] and np.ptp(m.sum(0)) == 0 and (m >= 0).all()
+    sizes = [600_000_000, 600_000_000, 3, 5_000_000_000_000]
+    m = sharding.communication_matrix(sizes, 16, 1)
+    assert m.sum(1).tolist() == sizes and np.ptp(m.sum(0)) <= 1 and (m >= 0).all()
+
+
+def test_large_hypergeometric_draws_follow_the_law():
+    for good, bad, n in ((10**10, 3 * 10**10, 10_000), (6 * 10**8, 6 * 10**8, 10**9), (10**12, 5, 7)):
+        rng = np.random.default_rng(1)
+        x = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(400)], float)
+        share = good / (good + bad)
+        sd = math.sqrt(n * share * (1 - share) * (good + bad - n) / (good + bad - 1))
+        assert abs(x.mean() - n * share) <= 5 * sd / 20 + 1e-3 and abs(x.std() - sd) <= 0.2 * sd + 1e-2
 
 
 def test_shards(spark, awkward):
     df, data = awkward
-    for frame, n in ((df.drop("shard"), len(data)), (spark.range(1000).withColumn("text", F.lit("same")), 1000)):
+    for frame, n in ((df, len(data)), (spark.range(1000).withColumn("text", F.lit("same")), 1000)):
         got = sharding.shuffle_into_shards(frame, 16).collect()
         by = {}
         for r in got:
@@ -263,7 +408,31 @@ def test_shards(spark, awkward):
         assert len(got) == n and set(by) <= set(range(16))
         counts = [len(by.get(s, [])) for s in range(16)]
         assert max(counts) - min(counts) <= 1 and all(sorted(x) == list(range(len(x))) for x in by.values())
-    assert sharding.shuffle_into_shards(df.drop("shard").limit(0), 16).count() == 0
+    assert sharding.shuffle_into_shards(df.limit(0), 16).count() == 0
+    clash = df.withColumns({c: F.lit("clash") for c in ("part", "at", "order", "cuts", "value", "bucket", "offset", "slot")})
+    out = sharding.shuffle_into_shards(clash, 16)
+    assert out.columns == [c for c in clash.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    assert {(r["part"], r["value"], r["n"]) for r in out.collect()} == {("clash", "clash", 0)}
+
+
+def test_shard_query_digests(spark, small, documents):
+    got = {r["doc_id"]: r for r in QUERIES["op5_sharding"](spark, small).collect()}
+    assert len(got) == len(documents)
+    for d, t in zip(documents.doc_id, documents.text, strict=True):
+        raw = (t or "").encode()
+        assert (got[d]["size"], got[d]["text_crc32"], got[d]["law"]) == (len(raw) + 1, zlib.crc32(raw), "rows")
+
+
+def test_shuffle_is_uniform(spark):
+    """Over many seeds every row is in each shard, and at each slot, equally often."""
+    df, where, slots = spark.range(24, numPartitions=3), Counter(), Counter()
+    for seed in range(60):
+        for r in sharding.shuffle_into_shards(df, 4, seed).collect():
+            where[r["id"], r["shard"]] += 1
+            slots[r["id"] % 6, r["slot"]] += 1
+    chi = sum((where[i, s] - 15) ** 2 / 15 for i in range(24) for s in range(4))
+    assert chi < 72 + 5 * 12  # 69 degrees of freedom
+    assert sum((slots[i, s] - 40) ** 2 / 40 for i in range(6) for s in range(6)) < 25 + 5 * 7.1
 
 
 def test_targets_are_capped_and_add_up():
@@ -294,9 +463,40 @@ def test_mix(spark, awkward, documents):
     assert mixing.mix_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_taken_equals_the_drawn_slots(spark, awkward):
+    """The words of each document in each drawn block, counted one by one, and the blocks' own words."""
+    df, data = awkward
+    short = df.where("length(text) < 1000 or text is null").withColumn("_n", F.lit("clash"))
+    mix = mixing.Mix(Workspace(spark, "test"), short, 8, mixing.SEED)
+    rows_, slots = mix.rows.collect(), mix.slots.collect()
+    owner = {}
+    for r in rows_:
+        for w in range(r["size"]):
+            assert (r["_sid"], r["_start"] + w) not in owner
+            owner[r["_sid"], r["_start"] + w] = r["_at"]
+    taken, in_shards = Counter(), {}
+    for s in slots:
+        for w in range(8 * s["block"], 8 * s["block"] + 8):
+            if (at := owner.get((s["_sid"], w))) is not None:
+                taken[at] += 1
+                in_shards.setdefault(at, set()).add(s["shard"])
+    want = Counter((r["doc_id"], r["size"], taken[r["_at"]], min(in_shards.get(r["_at"], {None})), max(in_shards.get(r["_at"], {None}))) for r in rows_)
+    got = mixing.mix_documents(short, block=8).select("doc_id", "size", "taken", "first_shard", "last_shard").collect()
+    assert Counter(map(tuple, got)) == want
+    assert len({(s["_sid"], s["slot"]) for s in slots}) == len(slots)
+    blocks = mixing.mixed_blocks(short, block=8).collect()
+    assert len(blocks) == len(slots) and all(r["n_words"] == len(r["text"].split(" ")) <= 8 for r in blocks)
+    assert sum(r["n_words"] for r in blocks) == sum(taken.values())
+    words = Counter(w for d in data if len(d[1] or "") < 1000 for w in WORD.findall(d[1] or ""))
+    assert {w for r in blocks for w in r["text"].split(" ")} <= set(words)
+    assert mixing.mixed_blocks(short.limit(0)).count() == 0
+
+
 def test_mixed_documents_hold_the_taken_words(spark, awkward):
     df, data = awkward
+    df = df.withColumns({c: F.lit("clash") for c in ("_row", "spans", "_spans", "left", "held")})
     out = mixing.mixed_documents(df, block=8)
+    assert {tuple(r) for r in out.select("_row", "spans", "_spans", "left", "held").collect()} == {("clash",) * 5}
     assert out.columns == df.columns
     words = {d[0]: Counter(WORD.findall(d[1] or "")) for d in data}
     for r in out.collect():
@@ -326,6 +526,20 @@ def test_bpe_equals_the_library(spark, awkward, documents):
     assert bpe.encode_documents(spark.createDataFrame([], SCHEMA), spec).count() == 0
 
 
+def test_long_words_merge_like_short_ones():
+    import time
+
+    from tokenizers import Tokenizer
+
+    spec = bpe.word_vocabulary()
+    tok, library, rnd = bpe.Tokenizer(spec), Tokenizer.from_str(spec), random.Random(2)
+    words = ["a" * 200_000, "漢字" * 300, *("".join(rnd.choices("abcdeé漢", k=rnd.randrange(90, 900))) for _ in range(60))]
+    start = time.time()
+    for w in words:
+        assert tok.merge(w) == library.encode(w, add_special_tokens=False).ids
+    assert time.time() - start < 30
+
+
 def test_lexicon_shares_suffixes_and_finds_exactly():
     entries = {w: [i, i + 1] for i, w in enumerate(["nation", "station", "ration", "rations", "é", "a", "ab"])}
     lexicon = bpe.Lexicon(bpe.compile_lexicon(entries))
@@ -379,7 +593,7 @@ def variants(n, seed):
 def test_near_documents_equal_brute_force(spark, monkeypatch, awkward, tile):
     monkeypatch.setattr(linking, "TILE", tile)
     data = [*awkward[1], *((100 + i, t, None, None, None) for i, t in enumerate([*variants(60, 1), *variants(30, 2), "x y z", "X, y z"]))]
-    df = spark.createDataFrame(data, SCHEMA).withColumn("id", F.lit("clash"))
+    df = spark.createDataFrame(data, SCHEMA).withColumns({c: F.lit("clash") for c in ("id", "row", "_row", "component")})
     roots = brute_classes(data, [shingles(d[1]) for d in data], lambda i, j: (data[i][1] or "") == (data[j][1] or ""))
     least = {}
     for d, r in zip(data, roots, strict=True):
@@ -421,26 +635,32 @@ def test_lines_equal_brute_force(spark, awkward):
     texts = ["\n".join(rnd.choice(base) if rnd.random() < 0.6 else f"an own line number {i} {k} of this text" for k in range(4)) for i in range(25)]
     data = [*awkward[1], *((100 + i, t, None, None, None) for i, t in enumerate(texts))]
     blank = " \t\n\x0b\x0c\r"
-    lines = [(d[0], i, s.strip(blank)) for d in dict.fromkeys(data) for i, s in enumerate((d[1] or "").lower().split("\n")) if len(s.strip(blank)) >= 20]
+    lines = [(d[0], i, s.strip(blank)) for d in dict.fromkeys(data) for i, s in enumerate((d[1] or "").lower().split("\n")) if s.strip(blank)]
     text = [x[2] for x in lines]
-    sets = [{s[i : i + 8] for i in range(len(s) - 7)} for s in text]
+    sets = [{s[i : i + 8] for i in range(max(1, len(s) - 7))} for s in text]
     roots = brute_classes(lines, sets, lambda i, j: text[i] == text[j])
     first = {}
     for x, r in zip(lines, roots, strict=True):
         first[r] = min(first.get(r, x[:2]), x[:2])
-    gone = {}
+    gone, every = {}, {}
     for x, r in zip(lines, roots, strict=True):
+        every.setdefault(x[0], []).append(x[1])
         if x[:2] != first[r]:
             gone.setdefault(x[0], []).append(x[1])
-    df = spark.createDataFrame(data, SCHEMA).withColumn("line", F.lit("clash"))
+    want, seen = [], set()
+    for d in data:  # a repeated row keeps no line
+        want.append((d[0], d[1], tuple(sorted((every if d in seen else gone).get(d[0], [])))))
+        seen.add(d)
+    df = spark.createDataFrame(data, SCHEMA).withColumns({c: F.lit("clash") for c in ("line", "row", "_row", "gone", "every", "number", "dropped", "_dropped", "copy")})
     got = line_dedup.line_counts(df).collect()
-    assert Counter((r["doc_id"], r["n_lines"], tuple(r["dropped"])) for r in got) == Counter((d[0], (d[1] or "").count("\n") + 1, tuple(sorted(gone.get(d[0], [])))) for d in data)
+    assert Counter((r["doc_id"], r["n_lines"], tuple(r["dropped"])) for r in got) == Counter((i, (t or "").count("\n") + 1, out) for i, t, out in want)
     cut = line_dedup.without_repeated_lines(df)
     assert cut.columns == df.columns
-    for r in cut.collect():
-        own = next(d[1] for d in data if d[0] == r["doc_id"])
-        assert r["text"] == (None if own is None else "\n".join(s for i, s in enumerate(own.split("\n")) if i not in gone.get(r["doc_id"], [])))
-    assert line_dedup.line_counts(df.limit(0)).count() == 0
+    left = Counter((i, None if t is None else "\n".join(s for k, s in enumerate(t.split("\n")) if k not in out)) for i, t, out in want)
+    rows_left = cut.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows_left) == left
+    assert all(r["row"] == r["_row"] == r["gone"] == r["number"] == "clash" for r in rows_left)
+    assert line_dedup.line_counts(df.limit(0)).count() == 0 and line_dedup.without_repeated_lines(df.limit(0)).count() == 0
 
 
 def test_short_lines_equal_brute_force(spark):
@@ -500,6 +720,33 @@ def test_audit_compares_copies_extras_and_order(spark):
     assert [r["ordinal"] for r in got if r["copies"] == 0] == [None, None]
 
 
+def test_a_lazy_result_outlives_a_pipeline_stage(spark, small):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    held = near_dedup.label_documents(docs.select("doc_id", "text"))
+    kept = corpus_pipeline.near_dedup(spark, docs, small)
+    n = kept.count()
+    corpus_pipeline.mix(spark, docs, small)
+    assert held.where("kept").count() == n and held.count() == docs.count()
+
+
+def test_pipeline_stages_on_awkward_tables(spark, small, awkward):
+    """Nulls, repeated rows and clashing names as every stage's input, and a table without rows."""
+    import corpus_pipeline
+
+    df = awkward[0].withColumns({c: F.lit("clash") for c in ("_row", "row", "gone", "spans", "held", "dropped")})
+    for name, apply in corpus_pipeline.STAGES:
+        out, none = apply(spark, df, small), None
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == df.columns, name
+            assert {tuple(r) for r in out.select("_row", "row", "gone", "spans", "held", "dropped").distinct().collect()} <= {("clash",) * 6}
+        else:
+            assert out.count() == df.count()
+        none = apply(spark, df.limit(0), small)
+        assert none.columns == out.columns and none.count() == 0, name
+
+
 def test_pipeline(spark, small, documents):
     import corpus_pipeline
 
