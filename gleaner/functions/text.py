@@ -1,9 +1,14 @@
-"""Text expressions: normalising, folding, tokens, signals.  All are plain columns."""
+"""Text expressions: normalising, folding, tokens, signals.
 
-from __future__ import annotations
+All are plain columns but for Unicode normal forms, which Spark lacks: those run on Arrow batches.
+"""
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Letters and digits with following marks; RE2 and Java agree on it.
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
@@ -18,17 +23,32 @@ VI_BASE = "a" * 17 + "e" * 11 + "i" * 5 + "o" * 17 + "u" * 11 + "y" * 5 + "d"
 # Further Latin letters with marks and their bases.
 LATIN_MARKED, LATIN_BASE = "äåçëîïñöûüÿœæ", "aaceiinouuyoa"
 
-# English words that carry no topic.
+# English words, and words of study reports, that carry no topic.
 ENGLISH_STOPWORDS = (
-    "a an and are as at be been but by can could did do does for from had has have he her his how i if in into is it its may more most no not of "
-    "on or our she should so some such than that the their them then there these they this those to up was we were what when where which who will "
-    "with would you your"
+    "a an and are as at be been being by can could did do does doing for from had has have having he her hers him his how i if in into is it its "
+    "may might more most no not of on or our ours she should than that the their theirs them then there these they this those to under up was we "
+    "were what when where which who why will with would you your study studies result results conclusion conclusions method methods background "
+    "objective patients patient group groups using use used based among between associated effect effects analysis data significant compared "
+    "clinical medical disease treatment"
 ).split()
 
 
-def collapse(c: Column) -> Column:
-    """Trimmed, with every run of blanks as one space."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+@F.pandas_udf(StringType())
+def normalize_text(c: pd.Series) -> pd.Series:
+    """Composed form (NFC), with every run of blanks as one space and none at the ends."""
+    return c.map(lambda t: " ".join(unicodedata.normalize("NFC", t).split()), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def accent_fold(c: pd.Series) -> pd.Series:
+    """đ as d, then the compatibility decomposition (NFKD) without marks; the case stays."""
+
+    def bare(t: str) -> str:
+        if t.isascii():
+            return t
+        return "".join(x for x in unicodedata.normalize("NFKD", t.translate({0x111: "d", 0x110: "D"})) if unicodedata.category(x)[0] != "M")
+
+    return c.map(bare, na_action="ignore")
 
 
 def words(c: Column) -> Column:
@@ -42,13 +62,13 @@ def normalize_query(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without the marks of Vietnamese and common Latin letters; đ becomes d."""
+    """Lower case without the marks of Vietnamese and common Latin letters; đ becomes d.  A plain column, for single words."""
     return F.translate(F.lower(c), VI_MARKED + LATIN_MARKED, VI_BASE + LATIN_BASE)
 
 
 def normalize_folded(c: Column) -> Column:
     """Folded text with everything but letters and digits as single spaces."""
-    return F.trim(F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(accent_fold(c)), r"[^\p{L}\p{N}]+", " "))
 
 
 def concise_query(c: Column, phrases: list[str], most: int = 24) -> Column:

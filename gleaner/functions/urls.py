@@ -1,14 +1,20 @@
 """URL expressions: parts, canonical keys, features and rules."""
 
-from __future__ import annotations
+import re
+import unicodedata
+from urllib import parse
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gleaner.functions.text import words
 
 # Query parameters that only track.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref")
+#: Each escape as it is kept: unreserved characters as themselves, others in upper case.
+_ESCAPES = {b: chr(b) if chr(b).isalnum() and b < 128 or chr(b) in "-._~" else f"%{b:02X}" for b in range(256)}
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
@@ -26,19 +32,35 @@ def fetchable(url: Column) -> Column:
     return F.when(F.lower(part(url, 1)).isin("http", "https") & (part(url, 2) != ""), F.split_part(url, F.lit("#"), F.lit(1)))
 
 
-def normalized(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, fragment, tracking parameters or trailing slash."""
-    scheme, port = F.lower(part(url, 1)), part(url, 3)
-    default = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    kept = F.filter(F.split(part(url, 5), "&"), lambda p: (p != "") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(*TRACKING))
-    query = F.array_join(kept, "&")
-    return F.concat(
-        scheme, F.lit("://"), F.lower(part(url, 2)), F.when(default, "").otherwise(F.concat(F.lit(":"), port)),
-        F.regexp_replace(part(url, 4), "/+$", ""), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+def _canonical(url: str, tracking: frozenset[str]) -> str | None:
+    u = parse.urlsplit(unicodedata.normalize("NFC", url.strip()))
+    try:
+        port = u.port
+    except ValueError:  # no number
+        return None
+    site = (u.hostname or "").lower().rstrip(".")
+    if port and (u.scheme.lower(), port) not in (("http", 80), ("https", 443)):
+        site += f":{port}"
+    path = re.sub("%([0-9A-Fa-f]{2})", lambda m: _ESCAPES[int(m[1], 16)], u.path).rstrip("/") or "/"
+    kept = [(k, v) for k, v in parse.parse_qsl(u.query, keep_blank_values=True) if k.lower() not in tracking]
+    query = "&".join(f"{parse.quote(k, safe='/:@-._~')}={parse.quote(v, safe='/:@-._~')}" for k, v in kept)
+    return parse.urlunsplit((u.scheme.lower(), site, path, query, ""))
+
+
+@F.pandas_udf(StringType())
+def normalized(url: pd.Series) -> pd.Series:
+    """NFC; lower-case scheme and host, the host's last dot gone; no default port, fragment, tracking parameters or trailing slash.
+
+    Escapes of unreserved characters are undone, others are in upper case; the
+    query is written anew, with blank values.  Null where the port is no number.
+    """
+    tracking = frozenset(TRACKING)
+    return url.map(lambda u: _canonical(u, tracking), na_action="ignore")
 
 
 def canonical_key(url: Column) -> Column:
-    return F.regexp_replace(normalized(url), "^[a-z]+:", "")
+    """The normalized URL without its scheme."""
+    return F.regexp_replace(normalized(url), "^[a-z][a-z0-9+.-]*:", "")
 
 
 def path_segments(url: Column) -> Column:

@@ -54,19 +54,32 @@ def weighted_postings(fields: list[tuple[DataFrame, float]]) -> DataFrame:
 
 
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 12) -> DataFrame:
-    """Exact inner-product top-k: queries (query_id, q) are a small broadcast side, blocks of it beyond that.
+    """Exact inner-product top-k of queries (query_id, q) over a corpus (doc, v).
 
     Every query meets every vector, as an exact search must; the top-k cut runs in
     each task before anything is shuffled.
     """
-    pairs = corpus.join(F.broadcast(queries.hint("broadcast")) if queries_are_small(queries) else queries, F.lit(True))
-    scored = pairs.select("query_id", "doc", F.round(dot(F.col("q"), F.col("v")), digits).alias("score"))
+    scored = against_all(queries, corpus).select("query_id", "doc", F.round(dot(F.col("q"), F.col("v")), digits).alias("score"))
     return top_k(scored, k, ["query_id"], F.desc("score"), F.col("doc"))
 
 
-def queries_are_small(queries: DataFrame, most: int = 20_000) -> bool:
-    """Checked, not assumed: a query set is broadcast only below ``most`` rows."""
-    return queries.limit(most + 1).count() <= most
+SENT_BYTES, SENT_ROWS = 32 << 20, 20_000
+
+
+def against_all(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """A stated query set against all rows: sent to every task in blocks whose size is checked, never assumed."""
+    arrays = [c for c, kind in queries.dtypes if kind.startswith("array")]
+    wide = sum((F.greatest(F.size(c), F.lit(0)) * 8 for c in arrays), F.lit(8 * len(queries.columns)))
+    n, size = queries.agg(F.count("*"), F.sum(wide)).first()
+    blocks = max(1, -(-n // SENT_ROWS), -(-(size or 0) // SENT_BYTES))
+    if blocks == 1:
+        return corpus.join(F.broadcast(queries), F.lit(True))
+    part = F.pmod(F.xxhash64(*queries.columns), F.lit(blocks))
+    out = None
+    for i in range(blocks):
+        met = corpus.join(F.broadcast(queries.where(part == i)), F.lit(True))
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def first_per(df: DataFrame, group: list[str], *order: Column) -> DataFrame:

@@ -79,7 +79,9 @@ def _(spark, sf):
 @query("s13_merge_parts", "SELECT lang, count(*)::BIGINT AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY 1")
 def _(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang")
-    merged = tables.merge_parts([d.where(F.col("lang") == x) for x in ("en", "fr", "de", "es")], "doc_id")
+    named = ("en", "fr", "de", "es")
+    rest = d.where(~F.coalesce(F.col("lang").isin(*named), F.lit(False)))  # other languages and none
+    merged = tables.merge_parts([*(d.where(F.col("lang") == x) for x in named), rest], "doc_id")
     return merged.groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
@@ -283,9 +285,9 @@ def _(spark, sf):
     return pack.violations(broken, queries, texts)
 
 
-@query("f17_order_hash", "SELECT count(*)::BIGINT AS n, count(DISTINCT sha256(doc_id::VARCHAR || ':' || text))::BIGINT AS distinct_rows FROM documents")
+@query("f17_order_hash", "SELECT count(*)::BIGINT AS n, count(DISTINCT sha256(doc_id::VARCHAR || ':' || text))::BIGINT AS distinct_rows, sum(('0x' || sha256(doc_id::VARCHAR || chr(0) || text)[1:15])::UBIGINT)::VARCHAR AS digest FROM documents")
 def _(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return d.agg(F.count("*").alias("n"), F.count_distinct(F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "text"), 256)).alias("distinct_rows"), hashing.order_free_digest("doc_id", "text").alias("_d")).drop("_d")
-
-
+    return d.agg(
+        F.count("*").alias("n"), F.count_distinct(F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "text"), 256)).alias("distinct_rows"),
+        hashing.order_free_digest(F.col("doc_id"), F.col("text")).cast("string").alias("digest"))

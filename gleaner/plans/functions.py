@@ -13,14 +13,15 @@ PHRASES = ["the and", "of the", "in the"]
 TERMS = ["heart", "the", "tion", "licen"]
 CATEGORIES = {"legal": ["licen", "copyright"], "list": [" | "], "french": ["eaux"], "english": ["the "]}
 MARKERS = ["###", "the", "%%%"]
+BARE = "strip_accents(replace(replace(text, 'đ', 'd'), 'Đ', 'D'))"
 FOLDED = f"translate(lower(text), '{text.VI_MARKED}{text.LATIN_MARKED}', '{text.VI_BASE}{text.LATIN_BASE}')"
 STOP = ", ".join(f"'{w}'" for w in text.ENGLISH_STOPWORDS)
 _GRAMS = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))"
 
 
-@query("f1_collapse_whitespace", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS normal FROM documents")
+@query("f1_normalize_text", r"SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS normal FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.collapse(F.col("text")).alias("normal"))
+    return table(spark, sf, "documents").select("doc_id", text.normalize_text("text").alias("normal"))
 
 
 @query("f2_normalize_query", f"SELECT item_id, array_to_string(regexp_extract_all(lower(text), '{W}'), ' ') AS normal FROM benchmark")
@@ -28,17 +29,17 @@ def _(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", text.normalize_query(F.col("text")).alias("normal"))
 
 
-@query("f3_normalize_folded", f"SELECT doc_id, trim(regexp_replace({FOLDED}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS normal FROM documents")
+@query("f3_normalize_folded", f"SELECT doc_id, trim(regexp_replace(lower({BARE}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS normal FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.normalize_folded(F.col("text")).alias("normal"))
 
 
-@query("f4_accent_fold", f"SELECT doc_id, {FOLDED} AS folded FROM documents")
+@query("f4_accent_fold", f"SELECT doc_id, {BARE} AS folded FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"))
+    return table(spark, sf, "documents").select("doc_id", text.accent_fold("text").alias("folded"))
 
 
-_NORMAL = rf"' ' || trim(regexp_replace({FOLDED}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+_NORMAL = rf"' ' || trim(regexp_replace(lower({BARE}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
 
 
 @query("f5_concise_query", f"""
@@ -72,7 +73,7 @@ _URL = r"""u AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+)://', 1) AS
   regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages
 ), n AS (SELECT *, array_to_string(list_filter(string_split(q, '&'), lambda p: p <> '' AND split_part(p, '=', 1) NOT IN
   ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'ref')), '&') AS kept FROM u),
-norm AS (SELECT *, scheme || '://' || host || regexp_replace(path, '/+$', '') || CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS normal FROM n)"""
+norm AS (SELECT *, scheme || '://' || host || CASE WHEN regexp_matches(path, '^/*$') THEN '/' ELSE regexp_replace(path, '/+$', '') END || CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS normal FROM n)"""
 
 
 @query("f9_normalize_url", f"WITH {_URL} SELECT page_id, normal FROM norm")

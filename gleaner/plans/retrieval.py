@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions import hashing, text
+from gleaner.functions import hashing, text, urls
 from gleaner.functions.vectors import cosine
 from gleaner.operators import fuse, index, retrieve
 from gleaner.plans.registry import CHUNKS, HITS, TOKENS, bm25_sql, query
@@ -118,10 +118,9 @@ def _(spark, sf):
     return bm25(spark, sf, distinct=True)
 
 
-@query("r3_term_scores", f"WITH {TOKENS} SELECT term, doc_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM tf JOIN df USING (term) JOIN dl USING (doc_id), stats WHERE term IN (SELECT term FROM qf WHERE query_id = 0)")
+@query("r3_term_scores", f"WITH {TOKENS} SELECT term, doc_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM tf JOIN df USING (term) JOIN dl USING (doc_id), stats WHERE term IN (SELECT term FROM qf)")
 def _(spark, sf):
-    vocabulary = passages(spark, sf).where("query_id = 0")
-    ix = corpus_index(spark, sf, vocabulary=vocabulary)
+    ix = corpus_index(spark, sf, vocabulary=passages(spark, sf))
     p = ix.postings.join(ix.frequencies, "term").join(ix.lengths, "doc").crossJoin(ix.stats)
     return p.select("term", F.col("doc").alias("doc_id"), F.round(index.term_score(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")), 6).alias("score"))
 
@@ -181,16 +180,17 @@ def _(spark, sf):
     every = v.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"), F.col("label").cast("long").alias("owner"))
     from gleaner.functions.vectors import dot
 
-    pairs = every.join(q, F.lit(True)).groupBy("query_id", "owner").agg(F.max(F.round(dot(F.col("q"), F.col("v")), 12)).alias("score"))
+    pairs = retrieve.against_all(q, every).groupBy("query_id", "owner").agg(F.max(F.round(dot(F.col("q"), F.col("v")), 12)).alias("score"))
     return retrieve.top_k(pairs, 5, ["query_id"], F.desc("score"), F.col("owner")).withColumn("score", F.round("score", 6))
 
 
-@query("r10_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id")
+@query("r10_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id")
 def _(spark, sf):
     v = table(spark, sf, "embeddings")
-    a = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("q"))
-    b = v.select(F.col("vec_id").alias("b"), "label", "embedding")
-    return a.join(b, "label").where("a <> b").select("a", "b", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
+    a = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("q"))
+    b = v.select(F.col("vec_id").alias("b"), "embedding")
+    # a stated query set against all rows: every pair is a row of the result
+    return retrieve.against_all(a, b).where("a <> b").select("a", "b", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
 
 
 @query("r8_stable_top_k", "SELECT l_suppkey::BIGINT AS query_id, l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey, l_extendedprice)::BIGINT AS rank FROM lineitem) WHERE rank <= 20")
@@ -271,22 +271,31 @@ def _(spark, sf):
     return docs.join(chunks(spark, sf), "doc_id").select("query_id", "doc_id", "chunk_id", "chunk_index")
 
 
-_MAP = r"""u AS (SELECT page_id, url, split_part(url, '#', 1) AS plain, regexp_replace(lower(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '/+$', '')), '^[a-z]+:', '') AS canon FROM pages),
-r AS (SELECT page_id AS result_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN plain || '#x' ELSE replace(replace(split_part(plain, '?', 1), 'https:', 'x:'), 'http:', 'https:') END AS url FROM u),
-k AS (SELECT result_id, url, split_part(url, '#', 1) AS plain, regexp_replace(lower(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '/+$', '')), '^[a-z]+:', '') AS canon FROM r),
-m AS (SELECT result_id, 0 AS level, 'exact' AS how, u.page_id AS id FROM k JOIN u USING (url) UNION SELECT result_id, 1, 'plain', u.page_id FROM k JOIN u USING (plain) UNION SELECT result_id, 2, 'canonical', u.page_id FROM k JOIN u USING (canon)),
+def _norm(url: str) -> str:
+    """DuckDB SQL of a normalized URL, for URLs without escapes and ports."""
+    path, q = f"regexp_extract({url}, '^[a-z]+://[^/?#]*([^?#]*)', 1)", rf"regexp_extract({url}, '\?([^#]*)', 1)"
+    kept = f"array_to_string(list_filter(string_split({q}, '&'), lambda p: p <> '' AND split_part(p, '=', 1) NOT IN ({', '.join(repr(t) for t in urls.TRACKING)})), '&')"
+    return (f"(regexp_extract({url}, '^([a-z]+)://', 1) || '://' || lower(regexp_extract({url}, '^[a-z]+://([^/?#:]*)', 1)) || CASE WHEN regexp_matches({path}, '^/*$') THEN '/' "
+            f"ELSE regexp_replace({path}, '/+$', '') END || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END)")
+
+
+_MAP = rf"""u AS (SELECT page_id, url, {_norm('url')} AS plain FROM pages),
+r AS (SELECT page_id AS result_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN split_part(url, '#', 1) || '#x'
+  WHEN url LIKE 'https:%' THEN 'http' || substr(url, 6) ELSE 'https' || substr(url, 5) END AS url FROM u),
+k AS (SELECT result_id, url, {_norm('url')} AS plain FROM r),
+m AS (SELECT result_id, 0 AS level, 'exact' AS how, u.page_id AS id FROM k JOIN u USING (url) UNION SELECT result_id, 1, 'normalized', u.page_id FROM k JOIN u USING (plain)
+  UNION SELECT result_id, 2, 'canonical', u.page_id FROM k JOIN u ON regexp_replace(k.plain, '^[a-z]+:', '') = regexp_replace(u.plain, '^[a-z]+:', '')),
 g AS (SELECT result_id, level, how, min(id) AS id, count(*) AS n FROM m GROUP BY ALL), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY level) = 1)"""
 
 
 @query("r23_map_urls", f"WITH {_MAP} SELECT result_id, CASE WHEN n = 1 THEN id END AS id, CASE WHEN n > 1 THEN 'ambiguous' ELSE coalesce(how, 'none') END AS how FROM r LEFT JOIN b USING (result_id)")
 def _(spark, sf):
-    pages = table(spark, sf, "pages")
-    plain = F.split_part("url", F.lit("#"), F.lit(1))
-    moved = F.replace(F.replace(F.split_part(plain, F.lit("?"), F.lit(1)), F.lit("https:"), F.lit("x:")), F.lit("http:"), F.lit("https:"))
+    pages, u = table(spark, sf, "pages"), F.col("url")
+    moved = F.when(F.startswith(u, F.lit("https:")), F.concat(F.lit("http"), F.expr("substr(url, 6)"))).otherwise(F.concat(F.lit("https"), F.expr("substr(url, 5)")))
     third = F.col("page_id") % 3
-    found = pages.select(F.col("page_id").alias("result_id"), F.when(third == 0, F.col("url")).when(third == 1, F.concat(plain, F.lit("#x"))).otherwise(moved).alias("url"))
-    canon = F.regexp_replace(F.lower(F.regexp_replace(F.split_part(plain, F.lit("?"), F.lit(1)), "/+$", "")), "^[a-z]+:", "")
-    return retrieve.map_by_precedence(found, pages.select(F.col("page_id").alias("id"), "url"), [("exact", F.col("url")), ("plain", plain), ("canonical", canon)])
+    found = pages.select(F.col("page_id").alias("result_id"), F.when(third == 0, u).when(third == 1, F.concat(F.split_part(u, F.lit("#"), F.lit(1)), F.lit("#x"))).otherwise(moved).alias("url"))
+    return retrieve.map_by_precedence(
+        found, pages.select(F.col("page_id").alias("id"), "url"), [("exact", u), ("normalized", urls.normalized(u)), ("canonical", urls.canonical_key(u))])
 
 
 @query("u1_best_per_chunk", "SELECT query_id, chunk_id, score FROM (SELECT l_suppkey::BIGINT AS query_id, (l_partkey * 4 + l_linenumber % 4)::BIGINT AS chunk_id, max(l_extendedprice) AS score FROM lineitem GROUP BY ALL)")

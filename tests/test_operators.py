@@ -40,11 +40,29 @@ def test_word_ngrams_need_enough_words(spark):
 
 
 @pytest.mark.parametrize(("url", "normal"), [
-    ("HTTP://Example.ORG:80/a/?utm_source=x&b=1#top", "http://example.org/a?b=1"), ("https://a.b/", "https://a.b"), ("https://a.b:8443/x?ref=1", "https://a.b:8443/x")])
+    ("HTTP://Example.ORG:80/a/?utm_source=x&b=1#top", "http://example.org/a?b=1"), ("https://a.b/", "https://a.b/"), ("https://a.b:8443/x?ref=1", "https://a.b:8443/x"),
+    (" https://A.b.:443/%7Euser/%c3%a9%2f//?q=a b&empty=&x=%E9&utm_id=1#f", "https://a.b/~user/%C3%A9%2F?q=a%20b&empty=&x=%EF%BF%BD&utm_id=1"), ("http://x.y/cafe\u0301?a=/:@", "http://x.y/caf\u00e9?a=/:@"),
+    ("HTTPS://x.y?b=2&b=1", "https://x.y/?b=2&b=1"), ("http://x.y:no/", None), ("http://x.y:81", "http://x.y:81/")])
 def test_normalized_url(spark, url, normal):
     assert column(spark, urls.normalized(F.col("c")), url) == normal
 
 
+def test_unicode_forms(spark):
+    assert column(spark, text.normalize_text(F.col("c")), " Vie\u0323\u0302t \u00a0 na\u0301m\n") == "Vi\u1ec7t n\u00e1m"
+    assert column(spark, text.accent_fold(F.col("c")), "\u0110\u01b0\u1eddng Vie\u0323\u0302t \u2460 \ufb01n \u0153") == "Duong Viet 1 fin \u0153"
+    assert column(spark, text.normalize_folded(F.col("c")), "\u0110\u1eb7c-bi\u1ec7t!") == "dac biet"
+
+
+def test_query_set_in_blocks(spark, monkeypatch):
+    from gleaner.operators import retrieve
+
+    q = spark.range(50).select(F.col("id").alias("query_id"), F.array(F.col("id").cast("double")).alias("q"))
+    v = spark.range(7).select(F.col("id").alias("doc"), F.array(F.lit(1.0)).alias("v"))
+    whole = {tuple(r) for r in retrieve.dense_top_k(q, v, 3).collect()}
+    monkeypatch.setattr(retrieve, "SENT_ROWS", 8)
+    assert {tuple(r) for r in retrieve.dense_top_k(q, v, 3).collect()} == whole and len(whole) == 150
+
+
 def test_url_without_scheme(spark):
     assert column(spark, urls.host(F.col("c")), "www.Example.org/x") == "example.org"
 
