@@ -50,10 +50,14 @@ def document_flags(text: Column, lang: Column) -> Column:
     """An array of flags of a document."""
     paragraphs = F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "")
     repeated = F.size(paragraphs) - F.size(F.array_distinct(paragraphs))
-    pairs = F.zip_with(F.slice(paragraphs, 1, F.greatest(F.size(paragraphs) - 1, F.lit(0))), F.slice(paragraphs, 2, F.greatest(F.size(paragraphs), F.lit(1))), lambda a, b: jaccard(words(a), words(b)))
+    # one pass over the paragraphs' words: each is cut once and met by the next
+    start = F.struct(F.lit(None).cast("array<string>").alias("last"), F.lit(False).alias("hit"))
+    near = lambda a, w: F.coalesce(jaccard(a["last"], w) >= 0.9, F.lit(False))
+    walked = F.aggregate(
+        F.transform(paragraphs, words), start, lambda a, w: F.struct(w.alias("last"), (a["hit"] | near(a, w)).alias("hit")), lambda a: a["hit"])
     return F.array_compact(F.array(
         F.when(F.trim(text) == "", F.lit("empty")), F.when(F.length(text) < 200, F.lit("short")), F.when(text.rlike("<[a-zA-Z/][^>]*>"), F.lit("markup")),
-        F.when(repeated >= 0.2 * F.size(paragraphs), F.lit("repeated")), F.when(F.exists(pairs, lambda j: j >= 0.9), F.lit("adjacent_copies")),
+        F.when(repeated >= 0.2 * F.size(paragraphs), F.lit("repeated")), F.when(walked, F.lit("adjacent_copies")),
         F.when(F.length(text) > 20000, F.lit("large")), F.when(text.contains("�"), F.lit("replacement")), F.when(lang.isNull(), F.lit("no_language"))))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import words
+from gleaner.session import scratch_dir
 
 K1, B = 1.2, 0.75
 
@@ -27,12 +28,17 @@ class Index:
 def build(docs: DataFrame, doc: str, tokens: Column, key: list[str] | None = None, vocabulary: DataFrame | None = None) -> Index:
     """An index of ``docs``; with ``vocabulary`` (term) only the postings of its terms are kept.
 
-    Lengths come from the token arrays, so pruning the vocabulary keeps them whole
-    and the exploded tokens never need a second pass.
+    The texts are read and cut into tokens once and written with their lengths, so
+    that postings, lengths and statistics, often several of each in one plan, read
+    the columns they need.  Lengths count all tokens, before the vocabulary prunes.
     """
     key = key or []
-    held = docs.select(*key, F.col(doc).alias("doc"), tokens.alias("_w"))
-    lengths = held.select(*key, "doc", F.size("_w").cast("long").alias("dl"))
+    path = scratch_dir(docs.sparkSession, "tokens")
+    cut = docs.select(*key, F.col(doc).alias("doc"), tokens.alias("_w"))
+    cut = cut.withColumn("dl", F.size("_w").cast("long"))
+    cut.write.parquet(path)
+    held = docs.sparkSession.read.schema(cut.schema).parquet(path)
+    lengths = held.select(*key, "doc", "dl")
     stats = lengths.groupBy(*key).agg(F.count("*").cast("double").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
     terms = held.select(*key, "doc", F.explode("_w").alias("term"))
     if vocabulary is not None:
