@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.ranking import bucket_bits, permuted, running_total
 from gleaner.llm.workspace import Workspace, spare
 
-SHARDS, SEED, LIMIT = 16, 20261, 10**9
+SHARDS, SEED, LIMIT, SENT_ROWS = 16, 20261, 10**9, 100_000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -80,9 +80,12 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED)
     matrix = communication_matrix([c for _, c in counts], n_shards, seed)
     drawn = spark.createDataFrame(
         [(p, c, np.cumsum(m).tolist()) for (p, c), m in zip(counts, matrix, strict=True)], f"`{part}` int, `{n}` long, `{cuts}` array<long>")
-    # first permutation: of the positions within the partition, where the rows are
-    rank = permuted(F.col(at), F.col(n), F.xxhash64(F.lit(seed), part))
-    dealt = rows.join(drawn, part).withColumn("shard", F.size(F.filter(cuts, lambda c: c <= rank)))
+    if len(counts) <= SENT_ROWS:  # a row of counts for each partition: whole rows stay where they are
+        drawn = F.broadcast(drawn)
+    # first permutation: of the positions within the partition; an array of one, so that each is permuted once
+    rank = F.array(permuted(F.col(at), F.col(n), F.xxhash64(F.lit(seed), part)))
+    shard = F.aggregate(rank, F.lit(0), lambda _, r: F.size(F.filter(cuts, lambda c: c <= r)))
+    dealt = rows.join(drawn, part).withColumn("shard", shard)
     # the exchange and the second permutation, inside the shard
     dealt = dealt.withColumn(order, F.xxhash64(F.lit(seed + 1), part, at)).drop(cuts, n)
     bits = max(0, bucket_bits(sum(c for _, c in counts)) - 2)
