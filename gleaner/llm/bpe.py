@@ -25,7 +25,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -270,48 +270,50 @@ def _mapped(shared) -> Lexicon:
 
 
 class Encoder:
-    """Encodes and decodes texts, remembering a bounded number of words."""
+    """Encodes and decodes texts, remembering a bounded number of words as their ids in decimal and their tokens."""
 
     def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon):
         self.tok, self.lexicon = tokenizer, lexicon
-        self.numbers = list(range(len(tokenizer.token)))  # one object for each id, however many words have it
-        self.text_of = list(map(str, self.numbers))
-        self.ids: dict[str, tuple[int, ...]] = {}
+        self.text_of = list(map(str, range(len(tokenizer.token))))
+        self.ids: dict[str, str] = {}
+        self.tokens: dict[str, str] = {}
 
     def learn(self, words: set[str]) -> None:
         new = list(words.difference(self.ids))
         if len(self.ids) + len(new) > MEMO_WORDS:
             self.ids.clear()
+            self.tokens.clear()
             new = list(words)
         for w, ids in zip(new, self.lexicon.find(new), strict=True):
-            ids = self.tok.merge(w) if ids is None else ids
-            self.ids[w] = tuple([self.numbers[i] for i in ids])
+            self._keep(w, self.tok.merge(w) if ids is None else ids)
+        for w, i in self.tok.special.items():
+            self._keep(w, [i])
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text; new words of all texts are learnt together."""
+    def _keep(self, word: str, ids: list[int]) -> None:
+        self.ids[word] = " ".join([self.text_of[i] for i in ids])
+        self.tokens[word] = " ".join([self.tok.token[i] for i in ids])
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """(ids in decimal, decoded text) of each text; new words of all texts are learnt together."""
         split = []
         new: set[str] = set()
         for text in texts:
-            parts = self.tok.between.split(text) if "<|" in text else [text]
-            words = [part if k % 2 else self.tok.words(part) for k, part in enumerate(parts)]
-            for w in words[::2]:
-                new.update(w)
+            if "<|" in text:
+                words = []
+                for k, part in enumerate(self.tok.between.split(text)):
+                    if k % 2:
+                        words.append(part)  # no word holds a special token's whole text
+                    else:
+                        own = self.tok.words(part)
+                        new.update(own)
+                        words += own
+            else:
+                words = self.tok.words(text)
+                new.update(words)
             split.append(words)
         self.learn(new)
         for words in split:
-            ids: list[int] = []
-            for k, part in enumerate(words):
-                if k % 2:
-                    ids.append(self.tok.special[part])
-                else:
-                    ids.extend(chain.from_iterable(map(self.ids.__getitem__, part)))
-            yield ids
-
-    def decimal(self, ids: list[int]) -> str:
-        return " ".join(map(self.text_of.__getitem__, ids))
-
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.tok.token.__getitem__, ids))
+            yield " ".join(map(self.ids.__getitem__, words)), " ".join(map(self.tokens.__getitem__, words))
 
 
 def read_spec(path: str) -> str:
@@ -376,10 +378,9 @@ def encode_documents(docs: DataFrame, spec: str, lexicon_words: int = LEXICON_WO
             ids_of = batch.column(batch.schema.get_field_index("doc_id"))
             for first, texts in string_rows(batch, rows=256):
                 rows = []
-                for ids in encoder.encode([t or "" for t in texts]):
-                    decoded = encoder.decode(ids)
-                    row = (len(ids), sha(encoder.decimal(ids)), sha(decoded))
-                    rows.append((*row, np.array(ids, np.int32), decoded) if full else row)
+                for ids, decoded in encoder.encode([t or "" for t in texts]):
+                    row = (ids.count(" ") + 1 if ids else 0, sha(ids), sha(decoded))
+                    rows.append((*row, np.array(ids.split(), np.int32), decoded) if full else row)
                 columns = [pa.array(x) for x in zip(*rows, strict=True)]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)]
                 yield pa.RecordBatch.from_arrays([ids_of.slice(first, len(texts)), *columns], names=["doc_id", *names])
