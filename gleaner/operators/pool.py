@@ -120,19 +120,36 @@ def owner_diversity(df: DataFrame, most: int, depth: int) -> DataFrame:
     return out.withColumn("position", place).drop("_own", "_run")
 
 
-def swap_by_consensus(ranking: DataFrame, support: DataFrame, head: int, last: int, most: int) -> DataFrame:
-    """Replace up to ``most`` weak documents after the protected head by supported outsiders.
+def independent_owners(windows: DataFrame, least: int = 24, overlap: float = 0.5) -> DataFrame:
+    """(query_id, doc_id) with two windows of ``least`` words or more whose 5-grams share at most ``overlap`` of the smaller set.
 
-    Candidates (documents of ``support`` outside the list, best first) and victims (from the
-    list's end upward) are numbered and joined on their number: no loop is needed.
+    ``windows`` are (query_id, doc_id, place, words); a query's are a bounded pool, so an owner's pairs are few.
+    """
+    five = F.transform(F.sequence(F.lit(1), F.size("words") - 4), lambda i: F.array_join(F.slice("words", i, 5), " "))
+    grams = windows.where(F.size("words") >= least).select("query_id", "doc_id", "place", F.array_distinct(five).alias("grams"))
+    a, b = (grams.select("query_id", "doc_id", F.col("place").alias(f"place_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+    pairs = a.join(b, ["query_id", "doc_id"]).where("place_a < place_b")
+    both, smaller = F.size(F.array_intersect("grams_a", "grams_b")), F.least(F.size("grams_a"), F.size("grams_b"))
+    return pairs.where(both <= overlap * smaller).select("query_id", "doc_id").distinct()
+
+
+def swap_by_consensus(ranking: DataFrame, windows: DataFrame, head: int, last: int, most: int) -> DataFrame:
+    """Replace up to ``most`` weak documents after the protected head by outsiders with independent windows.
+
+    Candidates (owners of independent ``windows`` outside the list, most windows first)
+    and victims (from the list's end upward, with one window at most) are numbered and
+    joined on their number: no loop is needed.
     """
     inside = ranking.where(F.col("rank") <= last)
-    outside = support.join(inside, ["query_id", "doc_id"], "left_anti")
-    gain = top_k(outside, most, ["query_id"], F.desc("windows"), F.col("doc_id")).select("query_id", F.col("doc_id").alias("new"), F.col("rank").alias("n"))
-    victims = inside.where(F.col("rank") > head).withColumnRenamed("rank", "_r").join(support, ["query_id", "doc_id"], "left_anti")
+    counted = windows.groupBy("query_id", "doc_id").agg(F.count("*").alias("windows"), F.min("place").alias("first"))
+    keys = ["query_id", "doc_id"]
+    outside = windows.join(inside, keys, "left_anti")
+    candidates = counted.join(independent_owners(outside), keys, "left_semi")
+    gain = top_k(candidates, most, ["query_id"], F.desc("windows"), F.col("first"), F.col("doc_id")).select("query_id", F.col("doc_id").alias("new"), F.col("rank").alias("n"))
+    victims = inside.where(F.col("rank") > head).withColumnRenamed("rank", "_r").join(counted, keys, "left").where("coalesce(windows, 0) <= 1")
     lose = top_k(victims, most, ["query_id"], F.desc("_r"), F.col("doc_id")).select("query_id", F.col("doc_id"), F.col("rank").alias("n"))
     swaps = lose.join(gain, ["query_id", "n"]).select("query_id", "doc_id", "new")
-    out = inside.join(swaps, ["query_id", "doc_id"], "left")
+    out = inside.join(swaps, keys, "left")
     return out.select("query_id", F.coalesce("new", "doc_id").alias("doc_id"), "rank", F.col("new").isNotNull().alias("swapped"))
 
 

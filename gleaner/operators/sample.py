@@ -80,3 +80,29 @@ def nested(df: DataFrame, chosen: DataFrame, key: str, group: str, seed: str, ta
     old = chosen.select(key).distinct().withColumn("_old", F.lit(0))
     rows = df.join(old, key, "left").withColumn("_new", F.coalesce("_old", F.lit(1))).withColumn("_h", hash_rank(seed, F.col(key)))
     return top_k(rows, target, [group], F.col("_new"), F.col("_h"), F.col(key)).withColumn("kept", F.col("_new") == 0).drop("_old", "_new", "_h")
+
+
+def review_queue(df: DataFrame, strata: list[str], query: str, key: str, preferred: str, k: int) -> DataFrame:
+    """(position, query, key) of up to ``k`` rows for review: one per stratum in turn, no query twice, then preferred rows first.
+
+    ``key`` orders rows and tells them apart.  As at most ``k`` queries are ever taken, a
+    stratum needs its first ``k`` queries only, and they are read in order until the queue
+    is full; the fill needs each query's first row and ``2 * k`` of those.
+    """
+    one = df.groupBy(*strata, query).agg(F.min(key).alias(key))
+    near = one.withColumn("_n", F.row_number().over(Window.partitionBy(*strata).orderBy(key))).where(F.col("_n") <= k)
+    chosen: dict = {}
+    done = None
+    for row in near.orderBy(*strata, key).toLocalIterator():
+        stratum = tuple(row[c] for c in strata)
+        if len(chosen) == k:
+            break
+        if stratum != done and row[query] not in chosen:
+            chosen[row[query]], done = row[key], stratum
+    fill = df.groupBy(query).agg(F.min(F.struct((~F.col(preferred)).alias("late"), F.col(key).alias(key))).alias("_first"))
+    for row in fill.orderBy("_first").limit(2 * k).collect():
+        if len(chosen) < k and row[query] not in chosen:
+            chosen[row[query]] = row["_first"][key]
+    kinds = dict(df.dtypes)
+    return df.sparkSession.createDataFrame(
+        [(i, q, x) for i, (q, x) in enumerate(chosen.items())], f"position long, `{query}` {kinds[query]}, `{key}` {kinds[key]}")

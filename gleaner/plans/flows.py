@@ -345,6 +345,16 @@ def _(spark, sf):
     return select.fold_groups(df, ["query_id"], ["minus", "chunk_id"], rule, "query_id long, chunk_id long, membership string, position long")
 
 
+@query("n16_review_queue")
+def _(spark, sf):
+    """Documents to review by source and quality, the id modulo 40 as their query, those without label preferred."""
+    label = table(spark, sf, "labels").select("doc_id", "quality")
+    docs = table(spark, sf, "documents").join(label, "doc_id", "left").select(
+        F.coalesce("source", F.lit("")).alias("source"), F.coalesce("quality", F.lit(-1)).alias("quality"), (F.col("doc_id") % 40).alias("query_id"),
+        F.concat_ws(":", hashing.hash_rank("n16", F.col("doc_id")), F.col("doc_id").cast("string")).alias("key"), F.col("quality").isNull().alias("development"))
+    return sample.review_queue(docs, ["source", "quality"], "query_id", "key", "development", 16)
+
+
 @query("g20_chunk_statistics", "SELECT lang, count(*)::BIGINT AS n, count(*) FILTER (n_chars < 500)::BIGINT AS short, round(quantile_cont(n_chars, 0.5), 6) AS median, max(n_chars)::BIGINT AS longest FROM documents GROUP BY 1")
 def _(spark, sf):
     return table(spark, sf, "documents").groupBy("lang").agg(

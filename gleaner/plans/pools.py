@@ -216,14 +216,24 @@ def _(spark, sf):
     return select.fold_groups(_texted(spark, sf), ["query_id"], ["minus", "chunk_id"], functools.partial(select.refined, k=40), _TEXTED)
 
 
-@query("p22_consensus_swap", f"""WITH {HITS}, {_DOCS}, inside AS (SELECT query_id, doc_id, rank FROM docs WHERE arm = 'A' AND rank <= 20), sup AS (SELECT query_id, doc_id, count(*) AS windows FROM ranked WHERE arm IN ('N', 'R') AND rank <= 100 GROUP BY ALL HAVING count(*) >= 2),
-gain AS (SELECT query_id, doc_id AS new, row_number() OVER (PARTITION BY query_id ORDER BY windows DESC, doc_id) AS n FROM sup ANTI JOIN inside USING (query_id, doc_id)),
-lose AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, doc_id) AS n FROM inside ANTI JOIN sup USING (query_id, doc_id) WHERE rank > 15)
+@query("p22_consensus_swap", rf"""WITH {HITS}, {_DOCS}, inside AS (SELECT query_id, doc_id, rank FROM docs WHERE arm = 'A' AND rank <= 20),
+win AS (SELECT query_id, doc_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), chunk_id) AS place FROM ranked WHERE arm IN ('N', 'R') AND rank <= 100 GROUP BY query_id, doc_id, chunk_id),
+txt AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*')[1:60] AS w FROM documents), nd AS (SELECT count(*) AS total FROM documents),
+g AS (SELECT query_id, doc_id, place, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM win CROSS JOIN nd JOIN txt ON id = chunk_id % total WHERE len(w) >= 24),
+ind AS (SELECT DISTINCT a.query_id, a.doc_id FROM g a JOIN g b USING (query_id, doc_id) WHERE a.place < b.place AND len(list_intersect(a.g, b.g)) <= 0.5 * least(len(a.g), len(b.g))),
+cnt AS (SELECT query_id, doc_id, count(*) AS windows, min(place) AS first FROM win GROUP BY ALL),
+gain AS (SELECT query_id, doc_id AS new, row_number() OVER (PARTITION BY query_id ORDER BY windows DESC, first, doc_id) AS n FROM cnt SEMI JOIN ind USING (query_id, doc_id) ANTI JOIN inside USING (query_id, doc_id)),
+lose AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, doc_id) AS n FROM inside LEFT JOIN cnt USING (query_id, doc_id) WHERE rank > 15 AND coalesce(windows, 0) <= 1)
 SELECT query_id, coalesce(new, i.doc_id) AS doc_id, rank, new IS NOT NULL AS swapped FROM inside i LEFT JOIN (SELECT lose.query_id, lose.doc_id, new FROM lose JOIN gain USING (query_id, n) WHERE n <= 2) s USING (query_id, doc_id)""")
 def _(spark, sf):
-    docs = fuse.documents_of(hits(spark, sf)).where("arm = 'A'").select("query_id", "doc_id", "rank")
-    support = hits(spark, sf).where("arm in ('N', 'R') and rank <= 100").groupBy("query_id", "doc_id").agg(F.count("*").alias("windows")).where("windows >= 2")
-    return pool.swap_by_consensus(docs, support, 15, 20, 2)
+    """A chunk's window has the first words of a document of the corpus, as the chunks' own texts are short."""
+    found = hits(spark, sf)
+    docs = fuse.documents_of(found).where("arm = 'A'").select("query_id", "doc_id", "rank")
+    best = found.where("arm in ('N', 'R') and rank <= 100").groupBy("query_id", "doc_id", "chunk_id").agg(F.min("rank").alias("best"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("best", "chunk_id"))
+    corpus = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.slice(text.words(F.col("text")), 1, 60).alias("words"))
+    windows = best.withColumn("place", place).join(corpus, F.col("id") == F.col("chunk_id") % corpus.count(), "left")
+    return pool.swap_by_consensus(docs, windows.select("query_id", "doc_id", "place", "words"), 15, 20, 2)
 
 
 @query("p23_best_window", f"WITH {HITS} SELECT query_id, doc_id, arg_min(chunk_id, struct_pack(a := -score, b := chunk_id)) AS chunk_id, max(score) AS score FROM ranked GROUP BY ALL")

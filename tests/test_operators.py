@@ -311,3 +311,43 @@ def test_pandas_is_not_needed_for_empty_groups(spark):
     empty = spark.createDataFrame([], "query_id long, chunk_id long, doc_id long, chunk_text string, score double")
     out = select.fold_groups(empty, ["query_id"], ["score"], lambda r: r, "query_id long, position long")
     assert out.count() == 0 and isinstance(out.toPandas(), pd.DataFrame)
+
+
+def test_consensus_swap_needs_independent_windows(spark):
+    from gleaner.operators import pool
+
+    words = lambda k, n=30: [f"w{k}x{i}" for i in range(n)]
+    ranking = spark.createDataFrame([(1, d, d) for d in range(1, 21)], "query_id long, doc_id long, rank long")
+    rows = [
+        (1, 50, 9, words(1)), (1, 50, 10, words(2)),  # independent
+        (1, 51, 1, words(3)), (1, 51, 2, words(3)), (1, 51, 3, words(3)),  # one text three times
+        (1, 52, 4, words(4, 23)), (1, 52, 5, words(5, 23)),  # too short
+        (1, 53, 6, words(6)), (1, 53, 7, words(6)[:20] + words(7)),  # 16 of 26 5-grams shared
+        (1, 54, 8, words(8)), (1, 54, 11, words(9)), (1, 54, 12, words(8)),  # more windows come first
+        (1, 55, 13, words(10)), (1, 55, 14, words(11)),  # a third one finds no place
+        (1, 20, 15, words(12)), (1, 20, 16, words(12)), (1, 19, 17, words(13)), (1, 3, 18, words(14)), (1, 3, 19, words(15))]
+    windows = spark.createDataFrame(rows, "query_id long, doc_id long, place long, words array<string>")
+    got = {r["rank"]: (r["doc_id"], r["swapped"]) for r in pool.swap_by_consensus(ranking, windows, 15, 20, 2).collect()}
+    assert got == {r: (r, False) for r in range(1, 21)} | {19: (54, True), 18: (50, True)}  # 20 has two windows
+
+
+@pytest.mark.parametrize(("n", "queries", "k"), [(0, 3, 4), (60, 9, 5), (60, 9, 16), (200, 40, 16), (30, 2, 6)])
+def test_review_queue_by_brute_force(spark, n, queries, k):
+    import random
+
+    from gleaner.operators import sample
+
+    rnd = random.Random(n + k)
+    rows = [(rnd.choice("abcdef"), rnd.randrange(2), rnd.randrange(queries), f"{rnd.random():.9f}", rnd.random() < 0.4) for _ in range(n)]
+    chosen = {}
+    for stratum in sorted({r[:2] for r in rows}):
+        for r in sorted((r for r in rows if r[:2] == stratum), key=lambda r: r[3]):
+            if len(chosen) < k and r[2] not in chosen:
+                chosen[r[2]] = r[3]
+                break
+    for r in sorted(rows, key=lambda r: (not r[4], r[3])):
+        if len(chosen) < k and r[2] not in chosen:
+            chosen[r[2]] = r[3]
+    df = spark.createDataFrame(rows, "source string, quality int, query_id long, key string, development boolean")
+    got = sample.review_queue(df, ["source", "quality"], "query_id", "key", "development", k).orderBy("position").collect()
+    assert [(r["query_id"], r["key"]) for r in got] == list(chosen.items())
