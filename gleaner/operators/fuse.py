@@ -81,6 +81,20 @@ def complete(ranking: DataFrame, universe: DataFrame, item: str, order: Column,
     return every.join(offsets, "_bucket").select(item, (F.col("_offset") + place).cast("long").alias("position"))
 
 
+def ranked_by_score(scored: DataFrame, score: str, item: str) -> DataFrame:
+    """(item, rank) by falling ``score``, then ``item``, counted in buckets of the score's logarithm instead of one task.
+
+    Scores that are not positive come last, in one bucket.
+    """
+    bucket = F.when(F.col(score) > 0, -F.floor(F.ln(score) * 256)).otherwise(F.lit(1 << 40))
+    rows = scored.select(item, score, bucket.cast("long").alias("_bucket"))
+    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # buckets only
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.desc(score), item))
+    return rows.join(offsets, "_bucket").select(item, (F.col("_offset") + place).alias("rank"))
+
+
 def protected(control: DataFrame, extra: DataFrame, prefix: int, most: int, size: int) -> DataFrame:
     """The control's first ``prefix`` items, then ``most`` new items of ``extra``, then the control's tail, up to ``size``."""
     head = control.where(F.col("rank") <= prefix).withColumn("_class", F.lit(0))

@@ -232,7 +232,7 @@ SELECT doc_id, row_number() OVER (ORDER BY rank IS NULL, rank, CASE WHEN rank IS
 def _(spark, sf):
     per_query = bm25(spark, sf, 100, distinct=True)
     score = per_query.groupBy("doc_id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 9).alias("score"))
-    ranked = score.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
+    ranked = fuse.ranked_by_score(score, "score", "doc_id")
     return fuse.complete(ranked, table(spark, sf, "documents").select("doc_id"), "doc_id", hashing.hash_rank("order", F.col("doc_id")))
 
 
@@ -360,7 +360,7 @@ def _(spark, sf):
 SELECT p_partkey::BIGINT AS doc_id, row_number() OVER (ORDER BY rank IS NULL, rank, CASE WHEN rank IS NULL THEN sha256('rest:' || p_partkey::VARCHAR)[1:16] END, p_partkey)::BIGINT AS position FROM part LEFT JOIN k ON doc_id = p_partkey""")
 def _(spark, sf):
     s = hits(spark, sf).where("rank <= 10").groupBy("doc_id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 9).alias("s"))
-    k = s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "doc_id")))
+    k = fuse.ranked_by_score(s, "s", "doc_id")
     every = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("doc_id"))
     return fuse.complete(k, every, "doc_id", hashing.hash_rank("rest", F.col("doc_id")))
 

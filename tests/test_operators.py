@@ -351,3 +351,11 @@ def test_review_queue_by_brute_force(spark, n, queries, k):
     df = spark.createDataFrame(rows, "source string, quality int, query_id long, key string, development boolean")
     got = sample.review_queue(df, ["source", "quality"], "query_id", "key", "development", k).orderBy("position").collect()
     assert [(r["query_id"], r["key"]) for r in got] == list(chosen.items())
+
+
+def test_rank_by_score(spark):
+    from gleaner.operators import fuse
+
+    rows = [(i, x) for i, x in enumerate([0.5, 0.5, 0.49999, 3.0, 1e-9, 0.0, -2.0, 7.0, 0.5])]
+    got = fuse.ranked_by_score(spark.createDataFrame(rows, "doc_id long, s double"), "s", "doc_id").orderBy("rank").collect()
+    assert [r["doc_id"] for r in got] == [i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))] and [r["rank"] for r in got] == list(range(1, 10))
