@@ -12,6 +12,8 @@ from pyspark.sql.types import StringType
 
 #: Letters and digits with following marks; RE2 and Java agree on it.
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
+#: Blanks that are cut off ends: Unicode's separators of words (Zs), as in DuckDB's trim.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 HAN = r"[㐀-䶿一-鿿豈-﫿]"
 HAN_RUN = HAN + "+"
 
@@ -51,6 +53,11 @@ def accent_fold(c: pd.Series) -> pd.Series:
     return c.map(bare, na_action="ignore")
 
 
+def trim(c: Column) -> Column:
+    """Without ``BLANKS`` at either end; not ``F.trim``, whose second argument ``F.transform`` would fill with the index."""
+    return F.trim(c, F.lit(BLANKS))
+
+
 def words(c: Column) -> Column:
     """Lower-cased word tokens, duplicates kept."""
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0))
@@ -183,7 +190,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def promotional(c: Column, flags: list[str], share: float = 0.5) -> Column:
     """Two flagged segments or more that make up at least ``share`` of the text."""
-    parts = F.filter(F.transform(F.split(c, r"[\n.!?]+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(c, r"[\n.!?]+"), trim), lambda s: s != "")
     flagged = F.filter(parts, lambda s: F.exists(F.array(*map(F.lit, flags)), lambda f: F.lower(s).contains(f)))
     total = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + F.length(s))
     return (F.size(flagged) >= 2) & (total(flagged) >= share * total(parts))

@@ -359,3 +359,23 @@ def test_rank_by_score(spark):
     rows = [(i, x) for i, x in enumerate([0.5, 0.5, 0.49999, 3.0, 1e-9, 0.0, -2.0, 7.0, 0.5])]
     got = fuse.ranked_by_score(spark.createDataFrame(rows, "doc_id long, s double"), "s", "doc_id").orderBy("rank").collect()
     assert [r["doc_id"] for r in got] == [i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))] and [r["rank"] for r in got] == list(range(1, 10))
+
+
+def _same_as_sql(spark, monkeypatch, folder, name, **tables):
+    """The query and its SQL on these tables alone."""
+    from gleaner import catalog
+    from tests import oracle
+
+    for t, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{t}.parquet")
+    monkeypatch.setattr(oracle, "TABLES", [])
+    sql = f"WITH {', '.join(f'''{t} AS (SELECT * FROM '{folder}/{t}.parquet/*.parquet')''' for t in tables)} SELECT * FROM ({catalog.oracle_sql()[name]})"
+    found = oracle.rows_of(catalog.queries()[name](spark, str(folder)))
+    assert found == oracle.sql_rows(sql, folder)
+    return found[1]
+
+
+def test_promotional_segments_lose_blanks_not_digits(spark, monkeypatch, tmp_path):
+    texts = ["a### b.%%% c. abcdefgh", "###1.###1.         1 1 1", "　###.　###.  ab　 . 0", "12### 3.1%%%4.. 0 .", "", None]
+    _same_as_sql(spark, monkeypatch, tmp_path, "p21_promotional", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    assert column(spark, text.promotional(F.col("c"), ["###"]), "###.###.         a .") is True  # 6 of 7 characters, 6 of 17 with the blanks
