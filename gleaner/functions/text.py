@@ -128,9 +128,12 @@ def char_bigrams(c: Column, distinct: bool = False) -> Column:
 
 def word_ngrams(tokens: Column, n: int = 5, at_least: int | None = None) -> Column:
     """Distinct n-grams of an array of words; none when there are fewer than ``at_least`` words."""
-    size = F.size(tokens)
-    grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(size >= max(n, at_least or n), F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    def grams(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= max(n, at_least or n), F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    # bound as a variable: an expression named in the inner function would be cut anew for every gram
+    return F.element_at(F.transform(F.array(tokens), grams), 1)
 
 
 def with_folded_variants(tokens: Column, stopwords: list[str]) -> Column:

@@ -430,3 +430,7 @@ def test_cosine_of_all_pairs(spark, monkeypatch):
     assert len(got) == len(want) == 17 * 46
     for r in want:
         assert got[r["a"], r["b"]] == r["cosine"], r
+
+
+def test_word_ngrams_cut_their_text_once(spark):
+    assert str(text.word_ngrams(text.words(F.col("c")))).count("regexp_extract_all") == 1
