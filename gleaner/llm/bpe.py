@@ -1,7 +1,7 @@
 """Word-level BPE encoding and decoding with a minimal acyclic transducer lexicon.
 
-The corpus's frequent words (counted over all documents) are encoded once and
-compiled into a minimal acyclic automaton: words share prefixes and suffixes,
+The corpus's frequent words (counted over all documents) are encoded once, by one
+task, and compiled into a minimal acyclic automaton: words share prefixes and suffixes,
 each arc carries an additive output, and the sum along a word's path is the
 number of its id sequence.  The automaton is three sorted arrays, broadcast as one
 block; workers map Spark's own copy of the broadcast on their executor, so its
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.textkit import lean, small_batches, string_rows
 from gleaner.llm.workspace import Workspace
 
-LEXICON_WORDS, MEMO_WORDS, COUNTED_WORDS, LONG_WORD = 1 << 18, 300_000, 250_000, 96
+LEXICON_WORDS, MEMO_WORDS, COUNTED_WORDS, LONG_WORD, LEXICON_PART = 1 << 18, 300_000, 250_000, 96, 1 << 20
 END, MAGIC = "</w>", b"lexicon\nsuffixes"
 _NO = 1 << 60
 
@@ -354,10 +354,20 @@ def build_lexicon(docs: DataFrame, spec, size: int = LEXICON_WORDS) -> bytes:
     while sizes and sizes[-1][1] <= room:
         low, n = sizes.pop()
         room -= n
-    top = words.where(level >= low).select("word").collect()  # never more than ``size``
+    top = ws.save(words.where(level >= low).select("word"))  # never more than ``size``
     ws.drop(words)
-    tok = Tokenizer(spec.value)
-    return compile_lexicon({r["word"]: tok.merge(r["word"]) for r in top})
+
+    @lean
+    def compiled(batches):
+        tok = _once("spec", spec, lambda x: Tokenizer(x.value))
+        block = compile_lexicon({w: tok.merge(w) for batch in batches for w in batch.column(0).to_pylist()})
+        for i in range(0, len(block), LEXICON_PART):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([block[i : i + LEXICON_PART]], pa.binary())], names=["at", "part"])
+
+    # in one task of an executor: the driver gets the finished block, not the words, their merges and the states
+    parts = top.coalesce(1).mapInArrow(compiled, "at long, part binary").collect()
+    ws.drop(top)
+    return b"".join(r["part"] for r in sorted(parts, key=lambda r: r["at"]))
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -761,3 +761,25 @@ def test_pipeline(spark, small, documents):
             assert docs.count() == docs.select("text").distinct().count()
         ids = found
     assert corpus_pipeline.run(spark, small).count() == docs.count()
+
+
+def test_lexicon_is_compiled_by_a_task(spark, monkeypatch):
+    """The driver neither sees the words nor builds the automaton, and gets the same block."""
+    from gleaner.llm import bpe
+
+    docs = spark.createDataFrame([(f"alpha beta{i % 7} gamma",) for i in range(50)] + [("",), (None,)], "text string")
+    spec = spark.sparkContext.broadcast(bpe.word_vocabulary())
+    tok = bpe.Tokenizer(spec.value)
+    want = bpe.compile_lexicon({w: tok.merge(w) for w in {w for i in range(7) for w in tok.words(f"alpha beta{i} gamma")}})
+
+    compiled = bpe.compile_lexicon
+
+    def within_a_task(entries):
+        from pyspark import TaskContext
+
+        assert TaskContext.get() is not None
+        return compiled(entries)
+
+    monkeypatch.setattr(bpe, "compile_lexicon", within_a_task)
+    assert bpe.build_lexicon(docs, spec) == want
+    assert len(bpe.build_lexicon(docs.where("false"), spec)) > 0
