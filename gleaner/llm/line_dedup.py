@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.linking import CHARS, char_grams, classes
+from gleaner.llm.linking import CHARS, PACKED, char_grams, classes, pack
 from gleaner.llm.near_dedup import band_keys, prob_minhash
 from gleaner.llm.textkit import INK_BYTES, U64, Chunk, chunks, id_filter, lean, may_hold, mix, small_batches, string_rows
 from gleaner.llm.workspace import Workspace, spare
 
 BANDS, ROWS, BORDER, FEW, SEEN, SENT = 12, 4, 72, 13, 1_000_000, 16 << 20
+#: bytes of text at a time: arrays of their shingles stay in a core's cache
+LINE_BYTES = 1 << 18
 M = BANDS * ROWS
 
 
@@ -69,7 +71,7 @@ class Lines:
 def line_chunks(batch):
     """(first row, Lines) over an Arrow batch with a text column."""
     for first, texts in string_rows(batch):
-        for at, held in chunks([(t or "").lower() for t in texts]):
+        for at, held in chunks([(t or "").lower() for t in texts], LINE_BYTES):
             yield first + at, Lines(held)
 
 
@@ -114,38 +116,45 @@ def sign(lines: Lines, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pick[at], np.concatenate(keys)
 
 
+READ = "line long, doc_id long, row long, at int, copy long, slice int, packed binary"
+
+
+def _rows(**columns: pa.Array) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    names = [c.split()[0] for c in READ.split(", ")]
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
+
+
 @lean
 def _read(batches):
-    """For every document a row with its number of lines, and one for each of its counting lines.
+    """A row for every document with its number of lines and its ``copy``, one for each counting line, and packed (band key, line) rows.
 
-    A line carries its band keys the first time that this task meets it.
+    A line's band keys come the first time that this task meets it.
     """
     seen: set[int] = set()
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64())
+    keys, ids, size = [], [], 0
     for batch in batches:
-        doc_id = batch.column(batch.schema.get_field_index("doc_id"))
-        key = batch.column(batch.schema.get_field_index("row"))
-        copy = batch.column(batch.schema.get_field_index("copy"))
+        doc_id, key, copy = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "row", "copy"))
         for first, lines in line_chunks(batch):
             new = np.array([x not in seen and not seen.add(x) for x in lines.id.tolist()], bool)
             if len(seen) > SEEN:
                 seen.clear()
-            of, keys = sign(lines, np.flatnonzero(new))
-            bare = np.ones(len(new), bool)  # met before, or without shingles
-            bare[of] = False
-            n = lines.chunk.n
-            docs, at = np.arange(n) + first, lines.doc + first
-            for line, doc, number, bands in (
-                (pa.nulls(n, pa.int64()), docs, lines.n_lines, None),
-                (pa.array(lines.id[bare]), at[bare], lines.number[bare], None),
-                (pa.array(lines.id[of]), at[of], lines.number[of], keys),
-            ):
-                take = pa.array(doc)
-                held = pa.nulls(len(doc), kinds[4]) if bands is None else pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(doc) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-                which = copy.take(take) if doc is docs else pa.nulls(len(doc), kinds[5])
-                columns = [line, doc_id.take(take), key.take(take), pa.array(number.astype(np.int32)), held, which]
-                yield pa.RecordBatch.from_arrays(columns, names=["line", "doc_id", "row", "at", "bands", "copy"])
+            of, bands = sign(lines, np.flatnonzero(new))
+            keys.append(bands.ravel())
+            ids.append(np.repeat(lines.id[of], BANDS))
+            size += len(ids[-1])
+            doc = pa.array(np.arange(lines.chunk.n) + first)
+            yield _rows(doc_id=doc_id.take(doc), row=key.take(doc), at=pa.array(lines.n_lines.astype(np.int32)), copy=copy.take(doc))
+            doc = pa.array(lines.doc + first)
+            yield _rows(line=pa.array(lines.id), doc_id=doc_id.take(doc), row=key.take(doc), at=pa.array(lines.number.astype(np.int32)))
+            if size > PACKED:
+                of, packed = pack(np.concatenate(keys), np.concatenate(ids))
+                keys, ids, size = [], [], 0
+                yield _rows(slice=of, packed=packed)
+    if size:
+        of, packed = pack(np.concatenate(keys), np.concatenate(ids))
+        yield _rows(slice=of, packed=packed)
 
 
 def _line_texts(wanted):
@@ -184,10 +193,9 @@ class Repeats:
         small_batches(docs.sparkSession)
         source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", row_key().alias("row"))
         numbered = source.withColumn("copy", F.monotonically_increasing_id())
-        read = ws.save(numbered.mapInArrow(_read, "line long, doc_id long, row long, at int, bands array<long>, copy long"))
-        self.counts = read.where("line is null").select("doc_id", "row", F.col("at").cast("long").alias("n_lines"), "copy")
+        read = ws.save(numbered.mapInArrow(_read, READ))
+        self.counts = read.where("copy is not null").select("doc_id", "row", F.col("at").cast("long").alias("n_lines"), "copy")
         self.again = ws.save(self.counts.groupBy("row").agg(F.min("copy").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-        # a line near the border has two rows with bands but is one occurrence
         seen = read.where("line is not null").select("line", "doc_id", "row", "at")
         place = F.struct("doc_id", "row", "at")
         lines = ws.save(seen.groupBy("line").agg(F.count("*").alias("n")))
@@ -198,8 +206,7 @@ class Repeats:
             texts = source.select("text").mapInArrow(_line_texts(wanted), "id long, text string")
             return texts.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
 
-        bands = read.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("line").alias("id"))
-        linked = classes(bands, fetch, "chars", ws)
+        linked = classes(read.where("slice is not null").select("slice", "packed"), fetch, "chars", ws)
         # most lines neither recur nor link: only the others' places matter
         of = lines.join(linked.withColumnRenamed("id", "line"), "line", "left").where("n > 1 or component is not null")
         of = of.select("line", F.coalesce("component", "line").alias("component"))

@@ -6,11 +6,15 @@ a number of pairs linear in the candidates.  Components of the links found make
 most buckets of one class; those that still hold several classes are compared
 whole, in square tiles of bounded size, so a group that a hub does not reach
 loses no link.  Texts are fetched only for ids that take part.
+
+Candidates may also come packed: rows of bytes that hold many (bucket, id) pairs
+of one slice of the buckets, so that those alone in their bucket, nearly all of
+them, are never rows of Spark's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,7 @@ from gleaner.llm.textkit import U64, Chunk, lean, mix, ngrams
 from gleaner.llm.workspace import Workspace
 
 THRESHOLD, TILE, WORDS, CHARS = 0.8, 512, 5, 8
+SLICE_BITS, PACKED, HELD, BLOCK = 12, 1 << 19, 1 << 21, 1 << 16
 
 
 def distinct(h: np.ndarray) -> np.ndarray:
@@ -71,7 +76,34 @@ def char_shingles(text: str) -> np.ndarray:
     return chunk.span_hash(chunk.starts, chunk.stops - 1) if text else np.empty(0, U64)
 
 
-SHINGLES: dict[str, Callable[[str], np.ndarray]] = {"words": word_shingles, "chars": char_shingles}
+def char_sets(texts: list[str]) -> Iterator[np.ndarray]:
+    """``char_shingles`` of each text, with the windows of a block of texts made at once."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and size < BLOCK:
+            size += len(texts[hi])
+            hi += 1
+        grams = char_grams(np.frombuffer("".join(texts[lo:hi]).encode("utf-32-le"), np.uint32))
+        spans, at = [], 0
+        for t in texts[lo:hi]:
+            spans.append((at, max(at, at + len(t) - CHARS + 1)))
+            at += len(t)
+        for a, z in spans:
+            grams[a:z].sort()
+        new = np.ones(len(grams), bool)
+        np.not_equal(grams[1:], grams[:-1], out=new[1:])
+        for t, (a, z) in zip(texts[lo:hi], spans, strict=True):
+            if a == z:
+                yield char_shingles(t)
+            else:
+                new[a] = True
+                yield grams[a:z][new[a:z]]
+        lo = hi
+
+
+#: one text's set after the other, in the order given
+SHINGLES: dict[str, Callable[[list[str]], Iterator[np.ndarray]]] = {"words": lambda texts: map(word_shingles, texts), "chars": char_sets}
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -90,23 +122,15 @@ def _verify(kind: str, threshold: float):
     @lean
     def verify(batches):
         shingles = SHINGLES[kind]
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ta, tb = batch.column(2), batch.column(3)
-            known: dict[int, np.ndarray] = {}
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = known.get(a[i]), known.get(b[i])
-                if x is None:
-                    x = known[a[i]] = shingles(ta[i].as_py() or "")
-                if y is None:
-                    y = known[b[i]] = shingles(tb[i].as_py() or "")
-                if similar(x, y, threshold):
-                    keep.append(i)
-                if len(known) > 4096:
-                    known.clear()
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                batch = whole.slice(lo, 2048)
+                a, b, *texts = (batch.column(c).to_pylist() for c in range(4))
+                text = dict(zip(a + b, texts[0] + texts[1], strict=True))
+                known = dict(zip(text, shingles([t or "" for t in text.values()]), strict=True))
+                keep = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if similar(known[x], known[y], threshold)]
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     return verify
 
@@ -164,14 +188,14 @@ def _compare_tiles(kind: str, threshold: float):
         for batch in batches:
             head = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
             ids, labels, blocks = (batch.column(c).to_pylist() for c in (3, 4, 5))
-            text = batch.column(6)
+            sets = shingles([t or "" for t in batch.column(6).to_pylist()])
             found = []
-            for r, now in enumerate(head):
+            for r, (now, own) in enumerate(zip(head, sets, strict=True)):
                 if now != key:
                     found += _finish(rows, threshold)
                     key, rows = now, {}
                 if ids[r] not in rows:
-                    rows[ids[r]] = (labels[r], blocks[r], shingles(text[r].as_py() or ""))
+                    rows[ids[r]] = (labels[r], blocks[r], own)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
         found = _finish(rows, threshold)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
@@ -186,10 +210,81 @@ def _finish(rows: dict, threshold: float) -> list[tuple[int, int]]:
     return _tile_links(list(rows), list(labels), list(blocks), list(sets), threshold)
 
 
+def pack(bucket: np.ndarray, ids: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Slices, and the (bucket, id) rows of each as bytes."""
+    of = (bucket.view(U64) >> U64(64 - SLICE_BITS)).astype(np.uint16)
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.empty(0, np.int64)
+    data = np.stack((bucket, ids), axis=1)[order]
+    ends = np.append(first, len(of)).astype(np.int32) * 16
+    packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    return pa.array(of[first].astype(np.int32)), packed
+
+
+def settle(bucket: np.ndarray, ids: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Rows of buckets with several ids, without those told before, and for every bucket one row to go on from."""
+    order = np.argsort(bucket)
+    bucket, ids, told = bucket[order], ids[order], told[order]
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    low = np.minimum.reduceat(ids, first)
+    several = np.logical_or.reduceat(told, first) | (low != np.maximum.reduceat(ids, first))
+    out = np.repeat(several, np.diff(np.append(first, len(bucket)))) & ~told
+    return bucket[out], ids[out], (bucket[first], low, several)
+
+
+@lean
+def _several(batches):
+    """Over packed rows sorted by slice: the (bucket, id) rows of buckets with two distinct ids or more.
+
+    Rows may come again.  What is held is bounded by ``HELD`` rows and one for each bucket of a slice, however full a bucket is.
+    """
+    now, rows, size, state = None, [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        of, packed = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
+        ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] // 8
+        data = np.frombuffer(packed.buffers()[2], np.int64, ends[-1])
+        cut = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        found = []
+        for a, z in zip(cut[:-1], cut[1:], strict=True):
+            if of[a] != now:
+                found.append(_settled(rows, state))
+                now, rows, size, state = of[a], [], 0, None
+            rows.append(data[ends[a] : ends[z]].reshape(-1, 2))
+            size += len(rows[-1])
+            if size > HELD:
+                found.append(_settled(rows, state))
+                rows, size, state = [], 0, found[-1][2]
+        yield _candidates(found)
+    yield _candidates([_settled(rows, state)])
+
+
+def _settled(rows: list[np.ndarray], state: tuple[np.ndarray, ...] | None):
+    held = np.concatenate([np.empty((0, 2), np.int64), *rows])
+    bucket, ids, told = held[:, 0], held[:, 1], np.zeros(len(held), bool)
+    if state is not None:
+        bucket, ids, told = (np.concatenate(x) for x in zip(state, (bucket, ids, told), strict=True))
+    return settle(bucket, ids, told) if len(bucket) else (bucket, ids, state)
+
+
+def _candidates(found: list) -> pa.RecordBatch:
+    columns = [np.concatenate([np.empty(0, np.int64), *(x[c] for x in found)]) for c in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "id"])
+
+
 def shared_buckets(bands: DataFrame, ws: Workspace) -> DataFrame:
-    """(bucket, id, n) of the buckets with two distinct ids or more; ``bands`` may repeat rows."""
+    """(bucket, id, n) of the buckets with two distinct ids or more; ``bands`` may repeat rows.
+
+    ``bands`` has columns bucket and id, or slice and packed as ``pack`` makes them.
+    """
     whole = Window.partitionBy("bucket")
-    several = bands.withColumn("low", F.min("id").over(whole)).withColumn("high", F.max("id").over(whole)).where("low <> high")
+    if "packed" in bands.columns:
+        dealt = bands.select("slice", "packed").repartition("slice").sortWithinPartitions("slice")
+        several = dealt.mapInArrow(_several, "bucket long, id long").repartition("bucket")
+    else:
+        several = bands.withColumn("low", F.min("id").over(whole)).withColumn("high", F.max("id").over(whole)).where("low <> high")
     return ws.save(several.select("bucket", "id").distinct().withColumn("n", F.count("*").over(whole)))
 
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -683,6 +684,49 @@ def test_short_lines_equal_brute_force(spark):
     assert linking.char_shingles("abc") != linking.char_shingles("abd") and not len(linking.char_shingles(""))
 
 
+def test_packed_buckets_equal_plain_ones(spark, monkeypatch):
+    rnd = random.Random(5)
+    keys = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 3000, np.int64)
+    rows = [(k, rnd.randrange(-9, 9)) for k in keys.tolist() for _ in range(rnd.choice((1, 1, 1, 2, 5)))] + [(int(keys[0]), i % 700) for i in range(5000)]
+    rnd.shuffle(rows)
+    plain = spark.createDataFrame(rows, "bucket long, id long")
+    packs = []
+    for lo in range(0, len(rows), 2500):  # as many tasks' rows
+        of, packed = linking.pack(*np.array(rows[lo : lo + 2500], np.int64).T)
+        assert len(set(of.to_pylist())) == len(of)
+        packs += zip(of.to_pylist(), packed.to_pylist(), strict=True)
+    dealt = spark.createDataFrame([(o, bytearray(p)) for o, p in packs], "slice int, packed binary")
+    ws = Workspace(spark, "test")
+    want = sorted(map(tuple, linking.shared_buckets(plain, ws).collect()))
+    assert len(want) > 1000 and sorted(map(tuple, linking.shared_buckets(dealt, ws).collect())) == want
+    assert linking.shared_buckets(dealt.limit(0), ws).count() == 0
+    monkeypatch.setattr(linking, "HELD", 3)  # a full bucket goes out in parts
+    table = pa.table({"slice": pa.array([o for o, _ in sorted(packs)], pa.int32()), "packed": [p for _, p in sorted(packs)]})
+    parts = list(linking._several(iter([*table.to_batches(max_chunksize=7), table.to_batches()[0].slice(0, 0)])))
+    got = {x for b in parts for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert got == {(b, i) for b, i, _ in want}
+
+
+def test_band_keys_are_not_rows():
+    """30,000 keys of 2,500 lines make a row for each slice at most, not one for each key."""
+    texts = ["\n".join(f"line {k} of the text {i} is {i * 31 + k} long" for k in range(50)) for i in range(50)]
+    ids = pa.array(range(50), pa.int64())
+    out = list(line_dedup._read(iter([pa.RecordBatch.from_arrays([ids, pa.array(texts), ids, ids], names=["doc_id", "text", "row", "copy"])])))
+    lines = [x for b in out for x in b.column("line").to_pylist() if x is not None]
+    packed = [x for b in out for x in b.column("packed").to_pylist() if x is not None]
+    pairs = [tuple(x) for p in packed for x in np.frombuffer(p, np.int64).reshape(-1, 2).tolist()]
+    assert len(lines) == 2500 and len(packed) <= 2**linking.SLICE_BITS and len(pairs) >= 2500 * line_dedup.BANDS and {i for _, i in pairs} == set(lines)
+
+
+def test_sets_of_many_texts_are_those_of_each(monkeypatch):
+    rnd = random.Random(3)
+    texts = ["", "a", "1234567", "12345678", "é" * 30, "\U0001f600" * 9, *("".join(rnd.choice("ab é\U0001f600") for _ in range(rnd.randrange(60))) for _ in range(200))]
+    for block in (1, 100, 1 << 16):
+        monkeypatch.setattr(linking, "BLOCK", block)
+        for t, found in zip(texts, linking.char_sets(texts), strict=True):
+            assert found.tolist() == linking.char_shingles(t).tolist()
+
+
 def test_span_hash_tells_spans_apart():
     chunk = Chunk([b"ab ab ba abab", b"", b"ab"])
     starts, ends, doc = chunk.words()
